@@ -43,22 +43,26 @@ def slots_fingerprint(slots: Column) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}")), 256)
 
 
-@F.pandas_udf("string")
-def canonical_json(text: pd.Series) -> pd.Series:
-    """JSON with sorted keys, no spaces, no escapes beyond the needed; what is no JSON gives null."""
+def _dumped(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
 
+def _canonical(text: pd.Series) -> pd.Series:
     def one(x):
         try:
-            return json.dumps(json.loads(x), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            return _dumped(json.loads(x))
         except (TypeError, ValueError):
             return None
 
     return text.map(one)
 
 
-@F.pandas_udf("array<string>")
-def json_objects(text: pd.Series) -> pd.Series:
-    """The JSON objects that stand in free text, leftmost first, none inside another."""
+def canonical_json(text: Column | str) -> Column:
+    """JSON with sorted keys, no spaces, no escapes beyond the needed; what is no JSON gives null."""
+    return F.pandas_udf(_canonical, "string")(text)
+
+
+def _objects(text: pd.Series) -> pd.Series:
     decoder = json.JSONDecoder()
 
     def one(x):
@@ -69,13 +73,18 @@ def json_objects(text: pd.Series) -> pd.Series:
             except ValueError:
                 at += 1
                 continue
-            found.append(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+            found.append(_dumped(value))
             at = end
         return found
 
     return text.map(one)
 
 
+def json_objects(text: Column | str) -> Column:
+    """The JSON objects that stand in free text, leftmost first, none inside another."""
+    return F.pandas_udf(_objects, "array<string>")(text)
+
+
 def first_in_json_array(text: Column) -> Column:
     """The first element of a JSON array of texts that is not empty."""
     values = F.from_json(text, "array<string>")

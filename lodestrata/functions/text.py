@@ -79,11 +79,15 @@ def one_url(url: str | None) -> str:
     return urllib.parse.urlunsplit((u.scheme.lower(), host, path, urllib.parse.urlencode(kept), ""))
 
 
-@F.pandas_udf("string")
-def normalize_url(url: pd.Series) -> pd.Series:
+def _urls(url: pd.Series) -> pd.Series:
     return url.map(one_url)
 
 
+def normalize_url(url: Column | str) -> Column:
+    """one_url in Arrow batches."""
+    return F.pandas_udf(_urls, "string")(url)
+
+
 def plain_url(url: Column) -> Column:
     """normalize_url for URLs without ports, credentials, escapes or dot segments, inside the JVM."""
     at = F.instr(url, "://")
@@ -98,10 +102,17 @@ def plain_url(url: Column) -> Column:
 _NAME_MARKS = re.compile(r"[\s　·•・._\-—–/\\（）()【】\[\]「」“”\"'，,：:；;]+")
 
 
-@F.pandas_udf("string")
-def normalize_name(name: pd.Series) -> pd.Series:
+def one_name(name: str | None) -> str:
+    return _NAME_MARKS.sub("", unicodedata.normalize("NFKC", name or "").casefold().strip())
+
+
+def _names(name: pd.Series) -> pd.Series:
+    return name.map(one_name)
+
+
+def normalize_name(name: Column | str) -> Column:
     """NFKC, case folded, without separators and quotes: for lookup, not for merging."""
-    return name.map(lambda x: _NAME_MARKS.sub("", unicodedata.normalize("NFKC", x or "").casefold().strip()))
+    return F.pandas_udf(_names, "string")(name)
 
 
 def ascii_name(name: Column) -> Column:
