@@ -145,8 +145,12 @@ def sentences(text: Column) -> Column:
 
 def char_grams(text: Column, n: int) -> Column:
     """The distinct character n-grams; a shorter text is its own, an empty one has none."""
-    steps = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(steps, lambda i: F.substring(text, i, F.lit(n)))))
+
+    def grams(t: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(steps, lambda i: F.substring(t, i, F.lit(n)))))
+
+    return F.get(F.transform(F.array(text), grams), 0)  # so the text is computed once, not for each gram
 
 
 def jaccard(a: Column, b: Column) -> Column:

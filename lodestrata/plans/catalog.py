@@ -30,3 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load() -> None:
     """Imports the modules that register queries."""
     from . import aggregates, flows, joins, rows, texts  # noqa: F401
+
+
+load()
