@@ -9,6 +9,9 @@ from .common import written
 
 #: A round counts the bytes below this many candidate boundaries inside each open interval.
 PROBE_BITS = 12
+#: A group of equal texts is cut only where keeping it whole would put a boundary off by more than
+#: this share of a shard.
+CUT_SHARE = 0.02
 
 
 def _u64(value: int) -> int:
@@ -16,7 +19,7 @@ def _u64(value: int) -> int:
     return value - (1 << 63)
 
 
-def _refine(keys: DataFrame, column: str, goals: dict[int, int], weight: dict[int, int], tolerance: int, within=None) -> dict[int, tuple[int, int, int, bool]]:
+def _refine(keys: DataFrame, column: str, goals: dict[int, int], weight: dict[int, int], tolerance: int, whole: int, within=None) -> dict[int, tuple[int, int, int, bool]]:
     """For each goal (bytes that should lie below a splitter) the boundary found: (low, width in
     bits, bytes below low, met). Every round is one aggregation of exact byte counts between the
     probes of the open intervals, at most 2**PROBE_BITS rows for each of them."""
@@ -49,10 +52,13 @@ def _refine(keys: DataFrame, column: str, goals: dict[int, int], weight: dict[in
                 del open_[i]
                 continue
             at, run, more, n = found
-            # One row cannot be cut: the nearer side of it is the best boundary there is.
-            if goals[i] - run <= tolerance or n == 1 and goals[i] - run <= run + more - goals[i]:
+            # One row cannot be cut: the nearer side of it is the best boundary there is. Nor is one key
+            # whose nearer side is near enough.
+            off = min(goals[i] - run, run + more - goals[i])
+            stay = n == 1 or step == 0 and off <= whole
+            if goals[i] - run <= tolerance or stay and off == goals[i] - run:
                 done[i] = (at, 0, run, True)
-            elif run + more - goals[i] <= tolerance or n == 1:
+            elif run + more - goals[i] <= tolerance or stay:
                 done[i] = (at + (1 << step), 0, run + more, True)
             elif step == 0:
                 done[i] = (at, 0, run, False)
@@ -70,8 +76,8 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.002
     exact byte counts below candidate boundaries: 4,096 probes in every interval that holds an unmet
     splitter, until the bytes below a boundary are within `tolerance` of a shard's share. Only these
     counts reach the driver (at most shards x 4,096 rows a round, whatever the input). Equal texts
-    share a hash, so a group stays in one shard unless it is too heavy for any boundary beside it to
-    meet the tolerance; then the same search over ids cuts inside the group. Rows move once, at the
+    share a hash, so a group stays in one shard unless both its ends are off a boundary's place by
+    more than CUT_SHARE of a shard; then the same search over ids cuts inside the group. Rows move once, at the
     end, and slots come from ranks in cells of key ranges plus the counts of earlier cells, so no
     task holds a whole shard.
 
@@ -92,7 +98,7 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.002
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     goals = {i: total * i // shards for i in range(1, shards)}
     slack = max(0, int(total / shards * tolerance))
-    first = _refine(keys, "key", goals, {}, slack) if total else {}
+    first = _refine(keys, "key", goals, {}, slack, int(total / shards * CUT_SHARE)) if total else {}
     # Splitters (key, id) as unsigned pairs; id None stands before every row of that key.
     splitters: dict[int, tuple[int, int | None]] = {i: (low, None) for i, (low, _, _, met) in first.items() if met}
     heavy: dict[int, list[int]] = {}
@@ -102,7 +108,7 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.002
     shifted = keys.withColumn("sid", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63))))
     for low, members in heavy.items():
         signed = low - (1 << 64) if low >= 1 << 63 else low
-        cut = _refine(shifted, "sid", {i: goals[i] for i in members}, {i: first[i][2] for i in members}, slack, F.col("key") == F.lit(signed))
+        cut = _refine(shifted, "sid", {i: goals[i] for i in members}, {i: first[i][2] for i in members}, slack, 0, F.col("key") == F.lit(signed))
         for i in members:
             splitters[i] = (low, cut[i][0])
     # Comparison of unsigned values as signed longs: flip the top bit on both sides.
