@@ -144,13 +144,15 @@ def sentences(text: Column) -> Column:
 
 
 def char_grams(text: Column, n: int) -> Column:
-    """The distinct character n-grams; a shorter text is its own, an empty one has none."""
+    """The distinct character n-grams; a shorter text is its own, an empty one has none. One regular
+    expression finds them all; texts with characters outside the basic plane are cut one by one."""
 
     def grams(t: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
-        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(steps, lambda i: F.substring(t, i, F.lit(n)))))
+        steps = F.sequence(F.lit(1), F.length(t) - n + 1)
+        cut = F.when(t.rlike(r"[\x{10000}-\x{10FFFF}]"), F.transform(steps, lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= n, F.array(t)).otherwise(F.array_distinct(cut))
 
-    return F.get(F.transform(F.array(text), grams), 0)  # so the text is computed once, not for each gram
+    return F.get(F.transform(F.array(text), grams), 0)  # so the text is computed once
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -109,7 +109,7 @@ def similar_sets(df: DataFrame, key: str, items: str, least: float, ratio: tuple
     offered where its first common item may stand: as many shared items must be left on both sides
     as the similarity needs. Only such pairs meet, and only these are verified on whole sets."""
     hashed = df.select(key, F.array_distinct(F.transform(items, lambda x: F.xxhash64(x))).alias("s"))
-    rows = hashed.repartition(key).where(F.size("s") > 0)  # sets are made once, before the exchange
+    rows = hashed.repartition(key)  # sets are made before the exchange, which later steps share
     flat = rows.select(key, F.size("s").alias("n"), F.explode("s").alias("i"))
     counted = flat.groupBy("i").agg(F.count("*").alias("df")).where("df > 1")
     mine = Window.partitionBy(key)

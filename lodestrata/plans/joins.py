@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
-from lodestrata.functions import time as D
 from lodestrata.operators import ranges as J
 from lodestrata.operators import rows as R
 

@@ -133,3 +133,9 @@ def test_frozen_snapshot(spark, tmp_path):
     readers.write_once(spark.range(3), str(tmp_path / "s"))
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         readers.write_once(spark.range(3), str(tmp_path / "s"))
+
+
+@pytest.mark.parametrize("t", ["", "a", "abc", "abcabcab", "日本語のテキスト", "x🙂y🙂z🙂x🙂y", "a\nb\nc"])
+def test_grams(spark, t):
+    got = spark.createDataFrame([(t,)], "t string").select(text.char_grams(F.col("t"), 3).alias("g")).first()["g"]
+    assert got == list(dict.fromkeys(t[i : i + 3] for i in range(max(len(t) - 2, 1)))) if t else got == []
