@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import aggregates, flows, joins, ledgers, rows, texts  # noqa: F401
+    from . import aggregates, flows, joins, ledgers, rest, rows, texts  # noqa: F401
 
 
 load()
