@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, small_batches
+from .common import Words, blocks, kept, lean, small_batches
 from .wordcache import UnitEncoder
 
 #: The code points with the White_Space property.
@@ -29,6 +28,10 @@ def read_ranks(path: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table) + 1)]
 
 
+#: Pieces that one replay takes, and pairs whose merge is remembered between replays.
+REPLAY_PIECES, REMEMBERED = 20_000, 1 << 18
+
+
 class Replay:
     """Merges over many pieces at once. An inverted index holds, for each pair of tokens that some
     merge joins, the positions where it stands; the merges present are applied in rank order, and
@@ -49,6 +52,8 @@ class Replay:
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece: the piece's own if it has one, else what the merges leave."""
+        if len(self.pairs) > REMEMBERED:
+            self.pairs.clear()
         out: list = [None] * len(pieces)
         token, left, right, index, firsts = [], [], [], {}, []
         single, known, joined = self.single, self.pairs, self._joined
@@ -141,9 +146,9 @@ class ByteEncoder(UnitEncoder):
         self.bytes, self.byte_size, self.byte_at = np.frombuffer(b"".join(tokens), np.uint8), size, np.cumsum(size) - size
 
     @classmethod
-    @functools.cache
     def of(cls, path: str, pattern: str) -> ByteEncoder:
-        return cls(read_ranks(path), pattern)
+        """The worker's encoder; later tasks find its pieces learnt."""
+        return kept("bpe", (path, pattern), lambda: cls(read_ranks(path), pattern))
 
     def _units(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data, at = words.data, words.at
@@ -170,7 +175,8 @@ class ByteEncoder(UnitEncoder):
         for f in found:
             for p in f:
                 pieces.setdefault(p, len(pieces))
-        ids = self.replay.encode([p.encode() for p in pieces])
+        listed = [p.encode() for p in pieces]
+        ids = [i for k in range(0, len(listed), REPLAY_PIECES) for i in self.replay.encode(listed[k : k + REPLAY_PIECES])]
         return [ids[pieces[f[0]]] if len(f) == 1 else [i for p in f for i in ids[pieces[p]]] for f in found]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +197,7 @@ def _per_text(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: s
                 ids, sizes = encoder.encode(b.column("text"))
                 yield make(encoder, b.column("id"), ids, np.concatenate([[0], np.cumsum(sizes)]))
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {fields}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run, "bpe"), f"id {kind}, {fields}")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +227,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([raw[x:y] for x, y in zip(stop[:-1], stop[1:], strict=True)], pa.binary())], ["id", "text"])
 
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, text binary")
+    return encoded.select("id", "ids").mapInArrow(lean(run, "bpe"), f"id {kind}, text binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,9 @@ vectorised word hashing over Arrow string buffers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -63,6 +66,49 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: What a Python worker keeps between tasks, by the operator that it belongs to.
+_KEPT: dict = {}
+
+
+def kept(owner: str, key, make):
+    """make(), kept in the worker for later tasks of the same operator."""
+    if next(iter(_KEPT), owner) != owner:
+        _KEPT.clear()
+    held = _KEPT.setdefault(owner, {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
+
+
+def settle(owner: str | None) -> None:
+    """Lets go of what other operators keep in this worker."""
+    if next(iter(_KEPT), owner) != owner:
+        _KEPT.clear()
+
+
+def trim() -> None:
+    """Hands freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every libc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run, owner: str | None = None):
+    """A batch function that first lets go of what other operators keep in the worker, and hands its
+    memory back when it ends: workers live on through later stages."""
+
+    def wrapped(batches):
+        settle(owner)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def crc_bucket(col: str, modulus: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches
+from .common import blocks, lean, small_batches
 
 #: The base patterns, in the order in which kinds are listed, and the least length of
 #: what they find (assign: of group 2; access and hex: of the match).
@@ -108,4 +108,4 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     out.append([{"kind": k, "start": s, "end": e} for s, e, k in sorted(spans, key=lambda x: (x[0], order[x[2]]))])
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(item))], ["id", "spans"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")

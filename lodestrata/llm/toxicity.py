@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, crc_bucket, mixed, small_batches
+from .common import Words, blocks, crc_bucket, lean, mixed, small_batches
 
 #: Hashed features; most positives and most unlabelled texts that the fit reads (bounded samples, by
 #: md5 of the id); predicted is score >= THRESHOLD.
@@ -19,6 +19,8 @@ PREFIXES = (4, 5)
 #: Only features of at least this count and share of the positives, and this many times likelier in
 #: them than in unlabelled texts, get a weight: single texts' chance words cannot be learned by heart.
 LEAST_COUNT, LEAST_SHARE, LIFT = 3, 0.02, 2.5
+#: Bytes of text whose features are made at once.
+BLOCK = 1 << 20
 STEPS, RATE, DECAY, BATCH = 700, 0.5, 1e-6, 384
 
 
@@ -149,12 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in blocks(whole, "text"):
+            for b in blocks(whole, "text", BLOCK):
                 of, key = features(b.column("text"))
                 cuts = np.searchsorted(of, np.arange(b.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("pos"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.astype(np.int32)))], ["id", "pos", "keys"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "pos", "text").mapInArrow(to_features, schema)
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "pos", "text").mapInArrow(lean(to_features), schema)
     positive, unlabelled = [], []
     for r in picked.orderBy("id").toLocalIterator():
         (positive if r["pos"] else unlabelled).append(np.asarray(r["keys"], np.int64))
@@ -171,14 +173,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = held.value
         for whole in batches:
-            for part in blocks(whole, "text"):
+            for part in blocks(whole, "text", BLOCK):
                 of, key = features(part.column("text"))
                 n = np.bincount(of, minlength=part.num_rows)
                 z = np.bincount(of, w[key], part.num_rows) / np.sqrt(np.maximum(n, 1)) + b
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
 
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(apply, f"id {kind}, score double")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(apply), f"id {kind}, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ class UnitEncoder:
 
     end: int | None = None
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 400_000):
         self.most = most
         self._clear()
 
