@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mixed, small_batches, written
+from .common import Words, blocks, lean, mixed, small_batches, written
 
 #: Words in a shingle; the Jaccard similarity from which texts are linked, as a fraction.
 SHINGLE, SIMILAR = 5, (75, 100)
 #: Hash values that a sketch retains, and of these, how many two linked texts share at the least: six
 #: standard deviations below SIMILAR x SKETCH (a link falls below with a chance of about 1e-9).
-SKETCH = 256
+SKETCH = 128
 SHARED = math.floor(SKETCH * SIMILAR[0] / SIMILAR[1] - 6 * math.sqrt(SKETCH * 0.75 * 0.25))
-#: Counters that tell common values from rare ones, a table of fixed size.
-COUNTERS = 1 << 18
+#: Counters that find values which very many texts retain, a table of fixed size; a value is hot if
+#: its counter has this many times the mean, and HOT_LEAST at the least.
+COUNTERS, HOT_TIMES, HOT_LEAST = 1 << 18, 64, 20_000
+#: Bits of the filter that picks the texts to read again, at most.
+FILTER_BITS = 1 << 27
 #: Rounds in which a list links its members to one pivot, before what is left is compared in full.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 _COEFFICIENTS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -54,23 +58,23 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for whole in batches:
-            for b in blocks(whole, "text"):
+            for b in blocks(whole, "text", 2 << 20):
                 sets = list(shingle_sets(b.column("text")))
                 key = [np.array([(s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64), np.bitwise_xor.reduce(mixed(s)) if len(s) else 0], np.uint64) for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), _binary(key), _binary([s[:SKETCH] for s in sets])], ["id", "n", "set_key", "sketch"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, set_key binary, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id long, n long, set_key binary, sketch binary")
 
 
-def _counters(sketches: DataFrame) -> np.ndarray:
-    """How often values of each counter are retained, over all sketches; summed in 256 pieces."""
+def _counters(rows: DataFrame, column: str) -> np.ndarray:
+    """How often values of each counter occur over all rows; summed in 256 pieces."""
     piece = COUNTERS // 256
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            data = np.frombuffer(b"".join(x for x in b.column("sketch").to_pylist() if x), np.uint64)
+            data = np.frombuffer(b"".join(x for x in b.column(column).to_pylist() if x), np.uint64)
             total += np.bincount((data % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array([total[k * piece : (k + 1) * piece].tobytes() for k in range(256)], pa.binary())], ["piece", "counts"])
 
@@ -80,35 +84,69 @@ def _counters(sketches: DataFrame) -> np.ndarray:
         total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
         return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "counts": [total.astype(np.int64).tobytes()]})
 
-    rows = sketches.select("sketch").mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInPandas(add, "piece int, counts binary").collect()
+    sums = rows.select(column).mapInArrow(lean(count), "piece int, counts binary").groupBy("piece").applyInPandas(add, "piece int, counts binary").collect()
     out = np.zeros(COUNTERS, np.int64)
-    for r in rows:
+    for r in sums:
         out[r["piece"] * piece : (r["piece"] + 1) * piece] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
-def _postings(sketches: DataFrame, counters: np.ndarray) -> DataFrame:
-    """(value, id, n): for each text the rarest retained values, as many as a linked text must share
-    one of (prefix filtering: m retained, c shared at least, hence m - c + 1). Rare first keeps
-    passages that many texts share out of the lists unless they make up most of a text."""
-    held = sketches.sparkSession.sparkContext.broadcast(np.minimum(counters, (1 << 31) - 1).astype(np.int32))
-
-    def run(batches):
-        for b in batches:
-            values, ids, sizes = [], [], []
-            for i, n, raw in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), b.column("sketch").to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint64)
-                shared = -(-len(x) * SIMILAR[0] // SIMILAR[1]) if n <= SKETCH else SHARED
-                most = min(SHARED, shared)
-                order = np.lexsort((x, held.value[(x % np.uint64(COUNTERS)).astype(np.int64)]))
-                keep = x[order[: len(x) - most + 1]]
-                values.append(keep)
-                ids.append(np.full(len(keep), i, np.int64))
-                sizes.append(np.full(len(keep), n, np.int64))
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["value", "id", "n"])
-
-    return sketches.select("id", "n", "sketch").mapInArrow(run, "value long, id long, n long")
+def _shared(parts: list, column: str, counters: np.ndarray) -> DataFrame:
+    """(value, id, df) for every value of `column` (sets of hashes) that another text has too, over
+    parts (rows, test): of a part the rows whose id does not pass its test, if it has one. A value is
+    counted where its rows meet; hot ones, whose lists would fill a task, take their counter
+    instead (a rare value that falls on a hot counter counts as shared, which only weakens a filter)."""
+    held = parts[0][0].sparkSession.sparkContext.broadcast(np.minimum(counters, (1 << 31) - 1).astype(np.int32))
+    least = max(HOT_LEAST, int(HOT_TIMES * counters.mean()))
+
+    def post(rows: DataFrame, test, hot: bool) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                if test:
+                    b = b.filter(pa.array(~test(b.column("id").to_numpy(zero_copy_only=False))))
+                raw = b.column(column).to_pylist()
+                if not raw:
+                    continue
+                values = np.frombuffer(b"".join(raw), np.uint64)
+                ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), [len(x) // 8 for x in raw])
+                count = held.value[(values % np.uint64(COUNTERS)).astype(np.int64)]
+                on = (count >= least) == hot
+                columns = [values[on].view(np.int64), ids[on]] + ([count[on].astype(np.int64)] if hot else [])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["value", "id", "df"][: len(columns)])
+
+        return rows.select("id", column).mapInArrow(lean(run), "value long, id long" + (", df long" if hot else ""))
+
+    def all_parts(hot: bool) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [post(rows, test, hot) for rows, test in parts])
+
+    cold = all_parts(False).withColumn("df", F.count("*").over(Window.partitionBy("value"))).where("df > 1")
+    return cold.unionByName(all_parts(True)) if (counters >= least).any() else cold
+
+
+def _needed(n, size: int | None):
+    """How many values a text of n shingles shares with any that it is linked to: of its whole set, or
+    of the `size` that a sketch retains."""
+    exact = F.ceil(n * SIMILAR[0] / SIMILAR[1])
+    return (exact if size is None else F.when(n <= size, exact).otherwise(F.lit(SHARED))).cast("long")
+
+
+def _lists(shared: DataFrame, sizes: DataFrame, size: int | None) -> DataFrame:
+    """The inverted lists: (value, id, n, s, r). s is how many of a text's values any other text has;
+    below what a link needs the text has no link. Its lists are its rarest shared values, r-th in
+    rarity, as many as a linked text must share one of (prefix filtering)."""
+    joined = shared.join(sizes.select("id", "n"), "id")
+    by_text = Window.partitionBy("id")
+    ranked = joined.withColumn("s", F.count("*").over(by_text)).withColumn("r", F.row_number().over(by_text.orderBy("df", "value"))).withColumn("need", _needed(F.col("n"), size))
+    return ranked.where((F.col("s") >= F.col("need")) & (F.col("r") <= F.col("s") - F.col("need") + 1)).select("value", "id", "n", "s", F.col("r").cast("long").alias("r"))
+
+
+def _may_link(n1, s1, r1, n2, s2, r2):
+    """Whether two texts that meet in a list of whole sets can be linked and this be the first value, in
+    the order of rarity, that both have: sizes within the similarity, and as many shared values left
+    in both as a link needs. Every linked pair passes in the list of its first value."""
+    least, most = F.least(n1, n2), F.greatest(n1, n2)
+    need = F.ceil((n1 + n2) * SIMILAR[0] / (SIMILAR[0] + SIMILAR[1]))
+    return (least * SIMILAR[1] >= most * SIMILAR[0]) & (F.least(s1 - r1, s2 - r2) + 1 >= need)
 
 
 def _estimates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -132,21 +170,66 @@ def _estimates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(lean(run), "a long, b long")
+
+
+def _id_filter(wanted: DataFrame):
+    """A test of an array of ids: true for every wanted one, false for most others. A bit table of
+    bounded size, 16 bits an id where that fits, so it can be broadcast whatever there is to find."""
+    n = wanted.count()
+    bits = min(FILTER_BITS, 1 << max(16, (16 * n).bit_length()))
+
+    def place(ids: np.ndarray) -> np.ndarray:
+        return mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)
+
+    def mark(batches):
+        for b in batches:
+            at = place(b.column("id").to_numpy(zero_copy_only=False))
+            word, mask = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    rows = wanted.select("id").mapInArrow(lean(mark), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    table = np.zeros(bits >> 6, np.int64)
+    for r in rows.toLocalIterator():
+        table[r["word"]] = r["mask"]
+    held = wanted.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def test(ids: np.ndarray) -> np.ndarray:
+        at = place(ids)
+        return ((held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+    return test
+
+
+def _picked(df: DataFrame, test) -> DataFrame:
+    """The rows whose id passes the test."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(test(b.column("id").to_numpy(zero_copy_only=False))))
+
+    return df.mapInArrow(lean(run), df.schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs that the full sets confirm. Only texts in a pair are read again; each pair meets its two
-    sets in two joins."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, s): the whole sets of the wanted ids. Texts stay where they are while the table is read
+    again; what the bit filter lets through besides leaves in a join of the sets."""
+    test = _id_filter(wanted)
 
     def sets(batches):
         for whole in batches:
-            for b in blocks(whole, "text"):
-                yield pa.RecordBatch.from_arrays([b.column("id"), _binary(list(shingle_sets(b.column("text"))))], ["id", "s"])
+            on = test(whole.column("id").to_numpy(zero_copy_only=False))
+            for b in blocks(whole.filter(pa.array(on)), "text"):
+                found = list(shingle_sets(b.column("text")))
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in found], pa.int64()), _binary(found)], ["id", "n", "s"])
+
+    small_batches(docs.sparkSession)
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").mapInArrow(lean(sets), "id long, n long, s binary")
+    return written(read.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
 
-    full = written(texts.select("id", "text").mapInArrow(sets, "id long, s binary"))
+
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs that the full sets confirm; each pair meets its two sets in two joins."""
 
     def check(batches):
         for batch in batches:
@@ -159,7 +242,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     both = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+    return written(both.select("a", "b", "x", "y").mapInArrow(lean(check), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,6 +250,9 @@ def components(edges: DataFrame) -> DataFrame:
     and small-star, written between, until nothing changes; ids with few neighbours each round."""
     pair = lambda x, y: F.struct(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"))
     cur = written(edges.select(pair(F.col("a"), F.col("b")).alias("p")).select("p.*").where("lo < hi").distinct())
+    # Two rounds with equal edges: their number, and a sum and an exclusive or of their hashes.
+    same = (F.count("*"), F.bit_xor(F.xxhash64("lo", "hi")), F.sum(F.xxhash64("hi", "lo").bitwiseAND(F.lit(0xFFFFFFFF))))
+    now = None
     while True:
         # Large star: each node's greater neighbours hang on its least neighbour (itself included).
         near = cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
@@ -176,10 +262,9 @@ def components(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(small_least, "hi")
         new = small.select("m", F.col("lo").alias("x")).unionByName(small_least.select("m", F.col("hi").alias("x"))).where("m < x").select(F.col("m").alias("lo"), F.col("x").alias("hi")).distinct()
-        new = written(new)
-        fresh = new.join(cur, ["lo", "hi"], "left_anti").limit(1).count() + cur.join(new, ["lo", "hi"], "left_anti").limit(1).count()
-        cur = new
-        if not fresh:
+        cur = written(new)
+        was, now = now, tuple(cur.agg(*same).first())
+        if was == now:
             break
     return cur.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(cur.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
 
@@ -190,11 +275,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links join texts whose shingle sets have 100 x intersection >= 75 x union. Texts with equal sets
     are first collapsed to a class, so copies meet nothing but their own sums. Each class keeps a
-    bottom-k sketch; its rarest retained values go into inverted lists. For STAR_ROUNDS rounds each
-    list offers links of its members to one pivot (another each round, the rows of a list growing
-    its pairs linearly); offers go past the union-sketch estimate, then full sets confirm them, and
-    members of one component are not offered again. What is then left between different components
-    of a list, after the size filter, is compared in full, whatever the list's length: no cap.
+    bottom-k sketch; a text with too few values in common with any other has no link, and of the rest
+    the rarest shared values go into inverted lists. For STAR_ROUNDS rounds each list offers links of
+    its members to one pivot (another each round, so a list's offers grow with its rows); offers go
+    past the union-sketch estimate, then full sets confirm them, and members of one component are not
+    offered again. What is then left between different components of a list, and can be linked by
+    sizes and places in the lists, is compared in full, whatever the list's length: no cap.
 
     Null, empty and blank texts have an empty set and are linked with nothing. Fewer than five words
     are one shingle. Repeated rows (an id twice) share a class if their texts agree; an id whose rows
@@ -203,24 +289,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = written(sketched(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     empty = rows.where("n = 0").select("id", "n")
-    classes = rows.where("n > 0").groupBy("set_key", "n").agg(F.min("id").alias("class_id"))
-    reps = written(rows.where("n > 0").join(classes.select(F.col("class_id").alias("id"), "set_key", "n"), ["id", "set_key", "n"]).dropDuplicates(["id"]).select("id", "n", "sketch"))
-    posted = _postings(reps, _counters(reps))
-    long_lists = posted.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
-    # Lists of one member go at once; what stays is about the texts that share something rare.
-    lists = written(posted.join(long_lists, "value"))
+    # Classes of more than one id; every other text stands for itself.
+    counted = written(rows.where("n > 0").groupBy("set_key", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1"))
+    total = rows.count()
+    hot = F.col("copies") >= max(1000, total // 1000)
+    sized = rows.where("n > 0").select("id", "n", "set_key")
+    # Classes of many copies are few (at most 1,000 by their size) and broadcast, lest one fill a task.
+    large = F.broadcast(counted.where(hot).select("set_key", "n", "class_id"))
+    rest = sized.join(large, ["set_key", "n"], "left_anti").join(counted.where(~hot).select("set_key", "n", "class_id"), ["set_key", "n"], "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    members = written(sized.join(large, ["set_key", "n"]).select("id", "n", "class_id").unionByName(rest.select("id", "n", "class_id")))
+    # Sketches of class representatives: whatever the filter of copies does not name at once, the few
+    # others by a join.
+    copies = members.where("id != class_id").select("id").distinct()
+    test = _id_filter(copies)
+    some = rows.where("n > 0").select("id", "n", "sketch")
+    others = written(_picked(some, test).join(copies, "id", "left_anti").dropDuplicates(["id"]))
+    found = _lists(_shared([(some, test), (others, None)], "sketch", _counters(rows, "sketch")), rows.select("id", "n").where("n > 0"), SKETCH)
+    found = written(found.select("value", "id"))
+    candidates = written(found.join(found.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "value").select("id").distinct())
+    full = _full_sets(docs, candidates, id_col, text_col)
+    # The texts that may have a link are few; their lists are made anew from their whole sets.
+    lists = written(_lists(_shared([(full, None)], "s", _counters(full, "s")), full, None))
+    sketches = written(full.select("id", "n", F.substring("s", 1, 8 * SKETCH).alias("sketch")))
     links, tried, comp = None, None, None
     for k in range(STAR_ROUNDS + 1):
         # A member's component so far; a list asks nothing of members that are together already.
-        marked = lists.withColumn("c", F.col("id")) if comp is None else lists.join(comp, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed_lists = marked.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", F.lit(k))).alias("p")).where("c0 < c1")
-        apart = lambda x, y: F.least(x, y) * SIMILAR[1] >= F.greatest(x, y) * SIMILAR[0]
+        marked = lists.withColumn("c", F.col("id")) if comp is None else lists.join(comp, "id", "left").select("value", "id", "n", "s", "r", F.coalesce("component", "id").alias("c"))
+        # The pivot: first the member with the largest share of values in common with others, which is
+        # the least edited of a group of copies; then members picked by a hash.
+        rank = F.struct(-F.col("s") / F.col("n"), F.col("id")) if k == 0 else F.struct(F.xxhash64("c", F.lit(k)), F.xxhash64("id", F.lit(k)))
+        open_lists = marked.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("id", "n", "s", "r", "c"), rank).alias("p")).where("c0 < c1")
         if k < STAR_ROUNDS:
-            offers = marked.join(mixed_lists, "value").where((F.col("c") != F.col("p.c")) & apart(F.col("n"), F.col("p.n"))).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+            fits = _may_link(F.col("n"), F.col("s"), F.col("r"), F.col("p.n"), F.col("p.s"), F.col("p.r"))
+            offers = marked.join(open_lists, "value").where((F.col("c") != F.col("p.c")) & fits).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         else:
-            left = marked.join(mixed_lists.select("value"), "value")
-            other = left.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            offers = left.join(other, "value").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & apart(F.col("n"), F.col("n2"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+            left = marked.join(open_lists.select("value"), "value")
+            other = left.select("value", *[F.col(x).alias(f"{x}2") for x in ("id", "n", "s", "r", "c")])
+            fits = _may_link(F.col("n"), F.col("s"), F.col("r"), F.col("n2"), F.col("s2"), F.col("r2"))
+            offers = left.join(other, "value").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & fits).select(F.col("id").alias("a"), F.col("id2").alias("b"))
         offers = offers.distinct()
         if tried is not None:
             offers = offers.join(tried, ["a", "b"], "left_anti")
@@ -230,19 +336,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 break
             continue
         tried = offers if tried is None else tried.unionByName(offers)
-        possible = written(_estimates(offers, reps))
-        if possible.isEmpty():
+        found = _verified(_estimates(offers, sketches), full)
+        if found.isEmpty():
             continue
-        found = _verified(possible, docs, id_col, text_col)
         links = found if links is None else links.unionByName(found)
         comp = written(components(links))
-    # Classes of many copies are few (at most 1,000 by their size) and broadcast, lest one fill a task.
-    counted = written(rows.where("n > 0").groupBy("set_key", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1"))
-    hot = F.col("copies") >= max(1000, rows.count() // 1000)
-    sized = rows.where("n > 0").select("id", "n", "set_key")
-    large = F.broadcast(counted.where(hot).select("set_key", "n", "class_id"))
-    rest = sized.join(large, ["set_key", "n"], "left_anti").join(counted.where(~hot).select("set_key", "n", "class_id"), ["set_key", "n"], "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    members = sized.join(large, ["set_key", "n"]).select("id", "n", "class_id").unionByName(rest.select("id", "n", "class_id"))
     if comp is not None:
         # The same for components: a class of many copies meets its component's id by broadcast.
         named = comp.select(F.col("id").alias("class_id"), "component")
