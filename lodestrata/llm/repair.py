@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, scratch, small_batches
+from .common import Words, blocks, kept, lean, scratch, small_batches
 from .wordcache import UnitEncoder
 
 #: The id that ends each document. Ids in a shard, about; how often a pair must occur in it to become
@@ -62,10 +61,9 @@ class WordEncoder(UnitEncoder):
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
-    @functools.cache
     def of(cls, path: str) -> WordEncoder:
         """The worker's encoder for a file; later tasks in the same worker find its words learnt."""
-        return cls(path)
+        return kept("repair", path, lambda: cls(path))
 
     def _units(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return _units(words)
@@ -160,17 +158,27 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     return {"symbols": seq.astype(width), "sizes": sizes.astype(np.uint32), "rules": np.array(rules, np.uint32).reshape(-1, 2), "lengths": np.array(lengths, np.uint32), "base": base}
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of a run of symbols: rules refer to earlier symbols only, so each pass opens one layer."""
-    seq = symbols.astype(np.int64)
-    while len(open_ := np.flatnonzero(seq >= base)):
-        out = np.empty(len(seq) + len(open_), np.int64)
-        at = np.arange(len(seq)) + np.searchsorted(open_, np.arange(len(seq)))
-        out[at] = seq
-        pair = rules[seq[open_] - base]
-        out[at[open_]], out[at[open_] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq.astype(np.uint32)
+def openings(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each symbol expands to: ids, and by symbol where its ids begin and how many they are. Rules
+    refer to earlier symbols only, so one pass over them fills the table."""
+    size = np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])
+    at = np.cumsum(size) - size
+    ids = np.empty(int(size.sum()), np.uint32)
+    ids[:base] = np.arange(base)
+    starts, sizes = at.tolist(), size.tolist()
+    for k, (a, b) in enumerate(rules.tolist(), base):
+        x, m = starts[k], sizes[a]
+        ids[x : x + m] = ids[starts[a] : starts[a] + m]
+        ids[x + m : x + sizes[k]] = ids[starts[b] : starts[b] + sizes[b]]
+    return ids, at, size
+
+
+def expand(symbols: np.ndarray, opened: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The ids of a run of symbols."""
+    ids, at, size = opened
+    n = size[symbols]
+    ends = np.cumsum(n)
+    return ids[np.repeat(at[symbols] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 _SHARD = "part int, seq int, n_ids long, base int, n_symbols int, ids binary, sizes binary, symbols binary, rules binary, lengths binary"
@@ -210,7 +218,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
             yield _pack(part, seq, doc_ids, np.concatenate(runs), np.concatenate(sizes))
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    ordered.mapInArrow(run, _SHARD).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(lean(run, "repair"), _SHARD).write.option("compression", "zstd").parquet(path)
 
 
 def shard_starts(spark, path: str) -> DataFrame:
@@ -238,10 +246,9 @@ def _read(spark, path: str, field: str, make, kind) -> DataFrame:
                 keys = np.frombuffer(row["ids"], np.int64, offset=nulls)
                 symbols = np.frombuffer(row["symbols"], np.uint16 if len(row["symbols"]) == 2 * row["n_symbols"] else np.uint32)
                 rules, lengths = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), np.frombuffer(row["lengths"], np.uint32)
-                of = np.ones(len(symbols), np.int64)
-                of[symbols >= row["base"]] = lengths[symbols[symbols >= row["base"]] - row["base"]]
-                ends = np.cumsum(np.add.reduceat(of, np.concatenate([[0], np.cumsum(sizes)[:-1]])))
-                flat = expand(symbols, rules, row["base"])
+                opened = openings(rules, lengths, row["base"])
+                ends = np.cumsum(np.add.reduceat(opened[2][symbols], np.concatenate([[0], np.cumsum(sizes)[:-1]])))
+                flat = expand(symbols, opened)
                 begin = np.concatenate([[0], ends[:-1]])
                 for k in range(0, len(sizes), 256):
                     span = range(k, min(k + 256, len(sizes)))
@@ -257,7 +264,7 @@ def _read(spark, path: str, field: str, make, kind) -> DataFrame:
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     shards = spark.read.schema(_SHARD).parquet(path).join(shard_starts(spark, path), ["part", "seq"])
-    return shards.mapInArrow(run, f"doc_id long, start long, n_tokens long, {field}")
+    return shards.mapInArrow(lean(run), f"doc_id long, start long, n_tokens long, {field}")
 
 
 def read_checksums(spark, path: str) -> DataFrame:
@@ -270,7 +277,8 @@ def read_document(shard: dict, k: int) -> np.ndarray:
     sizes = np.frombuffer(shard["sizes"], np.uint32).astype(np.int64)
     symbols = np.frombuffer(shard["symbols"], np.uint16 if len(shard["symbols"]) == 2 * shard["n_symbols"] else np.uint32)
     first = int(sizes[:k].sum())
-    return expand(symbols[first : first + int(sizes[k])], np.frombuffer(shard["rules"], np.uint32).reshape(-1, 2), shard["base"])
+    rules, lengths = np.frombuffer(shard["rules"], np.uint32).reshape(-1, 2), np.frombuffer(shard["lengths"], np.uint32)
+    return expand(symbols[first : first + int(sizes[k])], openings(rules, lengths, shard["base"]))
 
 
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> str:
