@@ -134,8 +134,10 @@ lv as (select *, (sum(source_size) over () * 1.5::double
           / sum(weight) over (order by cap / weight, turn rows between current row and unbounded following) as level from w),
 met as (select level as lvl from lv where level <= cap / weight order by cap / weight, turn limit 1),
 goal as (select source, source_size, least(cap, coalesce((select lvl from met) * weight, cap)) as target from lv),
-placed as (select *, coalesce(sum(size) over (partition by source order by h, doc_id nulls first, size
-             rows between unbounded preceding and 1 preceding), 0) + size / 2.0::double as middle from sized)
+cells as (select source, substr(h, 1, 3) as cell, sum(size)::bigint as cell_size from sized group by 1, 2),
+offs as (select *, coalesce(sum(cell_size) over (partition by source order by cell rows between unbounded preceding and 1 preceding), 0)::bigint as off from cells),
+placed as (select s.*, o.off + ('0x' || substr(s.h, 4, 7))::bigint / 268435456.0::double * o.cell_size as middle
+           from sized s join offs o on s.source is not distinct from o.source and substr(s.h, 1, 3) = o.cell)
 select p.doc_id, p.size, g.source_size, g.target,
        (p.size * case when p.size > 0 then least(greatest(floor((g.target - p.middle) / g.source_size) + 1, 0), 2) else 0 end)::bigint as taken
 from placed p join goal g on p.source is not distinct from g.source""",
