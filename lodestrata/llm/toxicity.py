@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, crc_bucket, lean, mixed, small_batches
+from .common import Words, blocks, crc_bucket, lean, mixed, small_batches, trim
 
 #: Hashed features; most positives and most unlabelled texts that the fit reads (bounded samples, by
 #: md5 of the id); predicted is score >= THRESHOLD.
@@ -93,7 +93,10 @@ def margins(model: tuple[np.ndarray, float], docs: list[tuple[np.ndarray, int]])
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
     """Which features may have a weight."""
-    count = lambda docs: np.bincount(np.concatenate(docs), minlength=FEATURES)
+
+    def count(docs: list[np.ndarray]) -> np.ndarray:
+        return sum((np.bincount(np.concatenate(docs[k : k + 1000]), minlength=FEATURES) for k in range(0, len(docs), 1000)), np.zeros(FEATURES, np.int64))
+
     p, u = count(positive), count(unlabelled)
     return (p >= max(LEAST_COUNT, LEAST_SHARE * len(positive))) & ((p + 0.5) / (len(positive) + 1) > LIFT * (u + 0.5) / (len(unlabelled) + 1))
 
@@ -159,9 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "pos", "text").mapInArrow(lean(to_features), schema)
     positive, unlabelled = [], []
     for r in picked.orderBy("id").toLocalIterator():
-        (positive if r["pos"] else unlabelled).append(np.asarray(r["keys"], np.int64))
+        (positive if r["pos"] else unlabelled).append(np.asarray(r["keys"], np.int32))
     mixture = unlabelled + positive[: int(round(len(unlabelled) * prior / (1 - prior)))] if positive else unlabelled
-    return fit_calibrated(positive, mixture, prior)
+    model = fit_calibrated(positive, mixture, prior)
+    del positive, unlabelled, mixture
+    trim()  # the driver lives on
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
