@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POOL = 100_000
@@ -30,6 +30,23 @@ def greedy_cover(items: list[tuple[object, frozenset]], n: int) -> list:
     return chosen
 
 
+def greedy_cover_rows(df: DataFrame, key: str, items: str, n: int) -> list:
+    """greedy_cover over rows (key, array of items) of any number: the sums stay in Spark, and only the
+    row chosen in each of the n rounds comes to the driver."""
+    chosen, covered = [], set()
+    kind = dict(df.dtypes)[items]
+    rows = df.select(key, items)
+    for _ in range(n):
+        seen = F.array(*[F.lit(x) for x in sorted(covered)]).cast(kind)
+        new = rows.where(~F.col(key).isin(chosen)) if chosen else rows
+        best = new.withColumn("gain", F.size(F.array_except(items, seen))).where("gain > 0").orderBy(F.desc("gain"), key).first()
+        if best is None:
+            break
+        chosen.append(best[key])
+        covered |= set(best[items])
+    return chosen
+
+
 def greedy_distinct(rows: list[tuple], n: int) -> list[tuple]:
     """Rows (group, key, owner) in order, each owner used once, n of a group at most."""
     used, count, out = set(), {}, []
@@ -41,6 +58,16 @@ def greedy_distinct(rows: list[tuple], n: int) -> list[tuple]:
     return out
 
 
+def quota_candidates(df: DataFrame, key: str, label: str, quotas: dict[str, int], seed: str, restarts: int = 20) -> DataFrame:
+    """The (key, label) rows that quota_restarts can choose from all rows: of each label, those that
+    come first, as many as its quota, in the order of some restart."""
+    quota = F.element_at(F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair]), F.col(label))
+    rows = df.select(key, label).withColumn("quota", quota).where("quota > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    mark = F.sha2(F.concat_ws("|", F.lit(seed), F.col("k").cast("string"), F.col(key).cast("string")), 256)
+    rank = F.row_number().over(Window.partitionBy("k", label).orderBy(mark))
+    return rows.withColumn("r", rank).where((F.col("r") <= max(quotas.values())) & (F.col("r") <= F.col("quota"))).select(key, label).distinct()
+
+
 def quota_restarts(rows: list[tuple[object, str]], quotas: dict[str, int], seed: str, restarts: int = 20) -> list:
     """Keys of (key, label) rows that fill the quotas, by the best of several seeded orders: the one
     whose sorted keys hash lowest among those that fill them all."""

@@ -176,7 +176,17 @@ def agg25_ordered_distinct(spark, d):
 @query("""with k as (select l_suppkey, list_distinct(list(l_partkey % 50)) as s from lineitem where l_suppkey < 40 group by 1)
 select a.l_suppkey as a, b.l_suppkey as b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 8) as jaccard, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 8) as overlap from k a join k b on a.l_suppkey + 1 = b.l_suppkey""")
 def agg26_coefficients(spark, d):
-    k = table(spark, d, "lineitem").where("l_suppkey < 40").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 50).alias("s"))
+    return _coefficients(table(spark, d, "lineitem").where("l_suppkey < 40"))
+
+
+@query("""with k as (select l_suppkey, list_distinct(list(l_partkey % 50)) as s from lineitem group by 1)
+select a.l_suppkey as a, b.l_suppkey as b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 8) as jaccard, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 8) as overlap from k a join k b on a.l_suppkey + 1 = b.l_suppkey""")
+def agg26_coefficients_whole(spark, d):
+    return _coefficients(table(spark, d, "lineitem"))
+
+
+def _coefficients(li):
+    k = li.groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 50).alias("s"))
     b = k.select((F.col("l_suppkey") - 1).alias("l_suppkey"), F.col("s").alias("t"))
     return k.join(b, "l_suppkey").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1).alias("b"), F.round(T.jaccard(F.col("s"), F.col("t")), 8).alias("jaccard"), F.round(T.overlap(F.col("s"), F.col("t")), 8).alias("overlap"))
 

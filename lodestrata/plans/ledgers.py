@@ -312,6 +312,11 @@ def dt6_monthly_cutoffs(spark, d):
     return table(spark, d, "customer").where("c_custkey < 50").select("c_custkey", F.explode(D.cutoffs_before(F.lit("2024-02-15").cast("date"), 3)).alias("cutoff"))
 
 
+@query("select c_custkey, unnest([last_day(date '2023-11-01'), last_day(date '2023-12-01'), last_day(date '2024-01-01')]) as cutoff from customer")
+def dt6_monthly_cutoffs_whole(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.explode(D.cutoffs_before(F.lit("2024-02-15").cast("date"), 3)).alias("cutoff"))
+
+
 @query("select event_id, (event_id % 400)::int > 0 and (ts::date - (event_id % 400)::int) < ts::date - 365 as historical from events")
 def dt14_historical_assertion(spark, d):
     day = F.col("ts").cast("date")
@@ -335,7 +340,17 @@ def jsn9_claim_relations(spark, d):
 @query("""with u as (select doc_id, i, s, case when regexp_matches(s, '(?i)(^| )tion') then 2 when regexp_matches(s, '(?i)heit') then 1 else 0 end as p from (select doc_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as s from (select doc_id, string_split(text, chr(10)) as l from documents where doc_id < 300)))
 select doc_id, arg_max(i, (p, -i)) as line, max(p) as priority from u where p > 0 group by 1""")
 def ext1_priority_events(spark, d):
-    lines = table(spark, d, "documents").where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s"))
+    return _priority_lines(table(spark, d, "documents").where("doc_id < 300"))
+
+
+@query("""with u as (select doc_id, i, s, case when regexp_matches(s, '(?i)(^| )tion') then 2 when regexp_matches(s, '(?i)heit') then 1 else 0 end as p from (select doc_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as s from (select doc_id, string_split(text, chr(10)) as l from documents)))
+select doc_id, arg_max(i, (p, -i)) as line, max(p) as priority from u where p > 0 group by 1""")
+def ext1_priority_events_whole(spark, d):
+    return _priority_lines(table(spark, d, "documents"))
+
+
+def _priority_lines(docs):
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s"))
     p = F.when(F.col("s").rlike("(?i)(^| )tion"), 2).when(F.col("s").rlike("(?i)heit"), 1).otherwise(0)
     found = lines.withColumn("p", p).where("p > 0")
     return found.groupBy("doc_id").agg(F.max_by(F.col("i").cast("long"), F.struct("p", -F.col("i"))).alias("line"), F.max("p").alias("priority"))
@@ -402,6 +417,15 @@ def gr4_shared_company_cases(spark, d):
     return G.components(e, "a", "b").where("node < 1000000")
 
 
+@query()
+def gr4_shared_company_cases_whole(spark, d):
+    # Companies stand on negative nodes, which no case key meets; a component is named by its least case.
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (-1 - F.col("c_nationkey")).cast("long").alias("b"))
+    found = G.components(e, "a", "b").where("node >= 0")
+    least = found.groupBy("component").agg(F.min("node").alias("least"))
+    return found.join(least, "component").select("node", F.col("least").alias("component"))
+
+
 @query("select s_suppkey::bigint as a, s_nationkey::bigint as b, 'in' as relation from supplier where s_acctbal > 5000")
 def gr5_graph_view(spark, d):
     s = table(spark, d, "supplier").where("s_acctbal > 5000")

@@ -151,21 +151,21 @@ def top7_greedy_pick(spark, d):
 @query()
 def top11_greedy_coverage(spark, d):
     parts = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 60).alias("s"))
-    pool = [(k, frozenset(s)) for k, s in ((r["l_suppkey"], r["s"]) for r in parts.orderBy("l_suppkey").limit(P.POOL).collect())]
-    return spark.createDataFrame([(i, k) for i, k in enumerate(P.greedy_cover(pool, 5))], "place int, l_suppkey long")
+    return spark.createDataFrame(list(enumerate(P.greedy_cover_rows(parts, "l_suppkey", "s", 5))), "place int, l_suppkey long")
 
 
 @query()
 def top12_quota_restarts(spark, d):
-    rows = P.pool(table(spark, d, "customer").where("c_custkey < 400"), "c_custkey", "c_mktsegment")
-    chosen = P.quota_restarts(rows, {"BUILDING": 5, "MACHINERY": 4, "HOUSEHOLD": 3}, "v2")
+    quotas = {"BUILDING": 5, "MACHINERY": 4, "HOUSEHOLD": 3}
+    rows = P.pool(P.quota_candidates(table(spark, d, "customer"), "c_custkey", "c_mktsegment", quotas, "v2"), "c_custkey", "c_mktsegment")
+    chosen = P.quota_restarts(rows, quotas, "v2")
     return spark.createDataFrame([(k,) for k in chosen], "c_custkey long")
 
 
 @query()
 def top13_exact_size_split(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 300")
-    comp = G.components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") % 17 + 1000).alias("b")), "a", "b").where("node < 1000")
+    c, beyond = table(spark, d, "customer"), 1 << 40  # groups stand on nodes above every key
+    comp = G.components(c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") % 17 + beyond).alias("b")), "a", "b").where(F.col("node") < beyond)
     return P.group_disjoint_split(comp, "component", c.count() // 2)
 
 
@@ -254,6 +254,18 @@ def ext22_grounding(spark, d):
     return grams.join(docs, "doc_id").where(F.contains("text", F.col("q"))).select("item_id", F.lit(True).alias("grounded"), "doc_id").distinct()
 
 
+@query("select item_id, true as grounded, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")
+def ext22_grounding_whole(spark, d):
+    # Whole items, met by their first 12 characters among the 12-grams of documents; shorter items are compared with every text.
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    heads = b.where(F.length("q") >= 12).select("item_id", F.substring("q", 1, 12).alias("h"))
+    met = docs.select("doc_id", F.explode(T.char_grams(F.col("text"), 12)).alias("h")).join(heads, "h").select("item_id", "doc_id").distinct()
+    long = met.join(docs, "doc_id").join(b, "item_id").where(F.contains("text", F.col("q"))).select("item_id", F.lit(True).alias("grounded"), "doc_id")
+    short = docs.crossJoin(b.where(F.length("q") < 12)).where(F.contains("text", F.col("q"))).select("item_id", F.lit(True).alias("grounded"), "doc_id")
+    return long.unionByName(short)
+
+
 @query("select event_id, event_type as role, event_id % 4 <> 3 as valid from events")
 def ext25_response_parsing(spark, d):
     raw = F.when(F.col("event_id") % 4 == 3, '{"roles": 7').otherwise(F.concat(F.lit('{"roles": [{"title": "'), "event_type", F.lit('"}]}')))

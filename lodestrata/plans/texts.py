@@ -58,6 +58,11 @@ def str9_chunk_windows(spark, d):
     return X.windows(table(spark, d, "documents").where("doc_id < 200"), "doc_id", "text", 1000, 100)
 
 
+@query("""select doc_id, i as unit, (i * 900)::int as start, substr(text, (i * 900 + 1)::bigint, 1000) as text from (select doc_id, text, unnest(generate_series(0, greatest(ceil((length(text) - 100) / 900.0), 1)::bigint - 1))::int as i from documents)""")
+def str9_chunk_windows_whole(spark, d):
+    return X.windows(table(spark, d, "documents"), "doc_id", "text", 1000, 100)
+
+
 @query("select item_id, substr(text, 1, 10) || repeat(' ', least(30, length(text)) - 10) || substr(text, 31) as text from benchmark")
 def str10_mask(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.masked(F.col("text"), F.lit(10), F.lit(30)).alias("text"))
@@ -246,8 +251,17 @@ def jsn8_dotted_path(spark, d):
 @query(r"""with s as (select doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?。！？；\n])', '\1' || chr(1), 'g'), chr(1))) as t from documents where doc_id < 300)
 select doc_id, sum(ceil(length(t) / 5000.0))::bigint as units, sum(length(t))::bigint as chars from s group by 1""")
 def ext9_units(spark, d):
-    u = X.units(table(spark, d, "documents").where("doc_id < 300"), "doc_id", "text")
-    return u.groupBy("doc_id").agg(F.count("*").alias("units"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    return _unit_sums(table(spark, d, "documents").where("doc_id < 300"))
+
+
+@query(r"""with s as (select doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?。！？；\n])', '\1' || chr(1), 'g'), chr(1))) as t from documents)
+select doc_id, sum(ceil(length(t) / 5000.0))::bigint as units, sum(length(t))::bigint as chars from s where t <> '' group by 1""")
+def ext9_units_whole(spark, d):
+    return _unit_sums(table(spark, d, "documents"))
+
+
+def _unit_sums(docs):
+    return X.units(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("units"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
 @query(r"""select doc_id, case when length(text) = 0 then 'empty' when len(regexp_extract_all(text, '(?m)^#+ ')) >= 2 then 'report' when len(regexp_extract_all(text, '(?m)^[\t\n\v\f\r ]*[-*•]')) >= 3 then 'digest' when length(text) < 200 then 'flash' when length(text) > 8000 or len(regexp_extract_all(text, '\n')) + 1 > 60 then 'long' else 'article' end as kind from documents""")
@@ -299,8 +313,7 @@ def ext26_greedy_themes(spark, d):
 
 @query()
 def gr1_components(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity = 50 and l_partkey % 3 = 0")
-    return G.components(li, "l_orderkey", "l_partkey")
+    return G.components(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("""with recursive e as (select c_custkey as a, c_custkey // 2 as b from customer where c_custkey % 7 <> 0), s as (select a, b from e union select b, a from e),
