@@ -276,6 +276,21 @@ def join21_near_duplicates(spark, d):
     return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query()
+def join21_near_duplicates_whole(spark, d):
+    docs = _squeezed(table(spark, d, "documents"))
+    pairs = J.similar_sets(docs.select("doc_id", T.char_grams(F.col("x"), 7).alias("s")), "doc_id", "s", 0.85)
+    length = docs.select("doc_id", F.length("x").alias("n"))
+    a, b = (length.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    like = pairs.join(a, "a").join(b, "b").where((F.col("na") / F.col("nb")).between(0.75, 1.34))
+    return like.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _squeezed(docs):
+    """doc_id and x: the text in lower case without white space."""
+    return docs.select("doc_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("x"))
+
+
 @query("""select a.doc_id as a, b.doc_id as b from documents a join documents b on substr(a.text, 1, 20) = substr(b.text, 1, 20) and a.doc_id < b.doc_id and a.n_chars / b.n_chars between 0.75 and 1.34""")
 def join22_blocked_prefix(spark, d):
     x = table(spark, d, "documents").select("doc_id", "n_chars", F.substring("text", 1, 20).alias("k"))
@@ -283,6 +298,18 @@ def join22_blocked_prefix(spark, d):
     return x.join(y, "k").where((F.col("doc_id") < F.col("b")) & (F.col("n_chars") / F.col("m")).between(0.75, 1.34)).select(F.col("doc_id").alias("a"), "b")
 
 
+@query()
+def join22_blocked_prefix_verified(spark, d):
+    pairs = join22_blocked_prefix(spark, d)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    docs = _squeezed(table(spark, d, "documents").join(wanted, "doc_id", "left_semi"))
+    sets = docs.select("doc_id", F.array_distinct(F.transform(T.char_grams(F.col("x"), 7), lambda g: F.xxhash64(g))).alias("s"))
+    a, b = (sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+    return found.where("jaccard >= 0.85").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 @query("""with k as (select p_brand as entity, lower(p_name || ' ' || p_size) as alias from part group by 1, 2), u as (select alias, min(entity) as entity from k group by 1 having count(distinct entity) = 1)
 select distinct upper(p_name || ' ' || p_size) as name, entity from part join u on lower(p_name || ' ' || p_size) = u.alias""")
 def join23_unique_alias(spark, d):

@@ -1,5 +1,7 @@
 """Queries on whole tables: ids that former filters left out take part. Against brute force on small fixtures."""
 
+import random
+
 import pytest
 
 from lodestrata.operators import selection
@@ -86,3 +88,46 @@ def test_all_customers_fill_quotas(spark, folder):
     d = folder(customer=(rows, "c_custkey long, c_mktsegment string"))
     got = [r["c_custkey"] for r in catalog.QUERIES["top12_quota_restarts"](spark, d).collect()]
     assert got == selection.quota_restarts(rows, {"BUILDING": 5, "MACHINERY": 4, "HOUSEHOLD": 3}, "v2") and max(got) >= 400
+
+
+def near_by_hand(texts, block):
+    """Pairs by the reference's rule: length ratio, then Jaccard of 7-shingles of 0.85 at the least."""
+    squeezed = {k: "".join(t.split()).lower() for k, t in texts.items()}
+    sets = {k: {x[i : i + 7] for i in range(max(1, len(x) - 6))} for k, x in squeezed.items() if x}
+    out = {}
+    for a in sets:
+        for b in sets:
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if a < b and 0.75 <= len(squeezed[a]) / len(squeezed[b]) <= 1.34 and j >= 0.85 and block(a, b):
+                out[a, b] = round(j, 6)
+    return out
+
+
+def near_texts():
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(900)]
+    long = " ".join(words)
+    edited = " ".join([*words[:880], "quite", "other", "words", "here"])
+    same_head = " ".join([*words[:6], *(f"z{rng.randrange(10**5)}" for _ in range(890))])
+    return {1: long, 2: edited, 3: same_head, 4: "tiny text", 5: "Tiny  Text", 6: "w " * 800, 7: "w " * 1600, 8: "w " * 820, 9: ""}
+
+
+def near_folder(folder, texts):
+    return folder(documents=([(k, t, len(t)) for k, t in texts.items()], "doc_id long, text string, n_chars long"))
+
+
+def test_near_duplicates_of_every_length(spark, folder):
+    texts = near_texts()
+    want = near_by_hand(texts, lambda a, b: True)
+    assert (1, 2) in want and (4, 5) in want and (6, 7) not in want and len(texts[1]) > 1500
+    got = catalog.QUERIES["join21_near_duplicates_whole"](spark, near_folder(folder, texts)).collect()
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+
+
+def test_blocked_pairs_are_verified(spark, folder):
+    texts = near_texts()
+    want = near_by_hand(texts, lambda a, b: texts[a][:20] == texts[b][:20])
+    d = near_folder(folder, texts)
+    blocked = {(r["a"], r["b"]) for r in catalog.QUERIES["join22_blocked_prefix"](spark, d).collect()}
+    got = catalog.QUERIES["join22_blocked_prefix_verified"](spark, d).collect()
+    assert (1, 3) in blocked and (1, 3) not in want and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
