@@ -125,9 +125,12 @@ def _shared(parts: list, column: str, counters: np.ndarray) -> DataFrame:
 
 def _needed(n, size: int | None):
     """How many values a text of n shingles shares with any that it is linked to: of its whole set, or
-    of the `size` that a sketch retains."""
+    of the `size` that a sketch retains. Sketches show a whole intersection only where the largest
+    text that can be linked, of n x 100 / 75 shingles, fits a sketch too."""
     exact = F.ceil(n * SIMILAR[0] / SIMILAR[1])
-    return (exact if size is None else F.when(n <= size, exact).otherwise(F.lit(SHARED))).cast("long")
+    if size is None:
+        return exact.cast("long")
+    return F.when(n * SIMILAR[1] <= size * SIMILAR[0], exact).otherwise(F.least(exact, F.lit(SHARED))).cast("long")
 
 
 def _lists(shared: DataFrame, sizes: DataFrame, size: int | None) -> DataFrame:

@@ -312,6 +312,21 @@ def test_near_dedup_large_group(spark):
     check_components(got, want)
 
 
+def test_near_dedup_of_texts_about_the_size_of_a_sketch(spark):
+    """Texts of 120 to 128 shingles within ones of 150 to 170: the longer one's sketch holds a part of the shared ones."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for k in range(400):
+        n = rng.randrange(120, 129)
+        m = rng.randrange(150, min(170, n * 100 // 75) + 1)
+        w = [f"t{k}x{rng.randrange(10**9)}" for _ in range(m + 4)]
+        rows += [(2 * k, " ".join(w[: n + 4])), (2 * k + 1, " ".join(w))]
+    want = components_by_hand(rows)
+    assert len({c for _, c in want.values()}) == 400
+    check_components(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want)
+
+
 def test_near_dedup_awkward(awkward, nothing):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(awkward).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[5] == (2, 4) and got[7] == (1, 7) == got[8][:1] + (7,)
