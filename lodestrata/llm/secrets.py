@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,9 +24,10 @@ BASE = (
 #: Words that make a context sensitive, in either case.
 CONTEXT = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "private", "bearer", "authorization", "signature", "access_key", "accesskey", "passphrase", "pwd", "session")
 #: A candidate has this many characters; it is sensitive with a context word this near before it;
-#: it is reported if its marginal size is at least NOVEL_BYTES and NOVEL_SHARE of its length.
+#: it is reported if its marginal size is at least NOVEL_BYTES and NOVEL_SHARE of what a random string
+#: of its length and alphabet has: its length, or what coded literals take, with a table of TABLE_BYTES.
 CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
-NEAR, AROUND, NOVEL_BYTES, NOVEL_SHARE = 64, 512, 12, 0.7
+NEAR, AROUND, NOVEL_BYTES, NOVEL_SHARE, TABLE_BYTES = 64, 512, 12, 0.7, 16
 #: Identifier parts that ordinary code and prose are made of; a primer for the compressor.
 IDENTIFIERS = " ".join(
     "get set is has new old user name value index count size length type data file path list map key id url http https www com org net html json xml text string number "
@@ -37,6 +40,8 @@ _COMPILED = [(kind, re.compile(p, re.ASCII | (re.IGNORECASE if kind == "assign"
 _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)" + BASE[0][1][BASE[0][1].index(")") + 1 :], re.ASCII)
 _CONTEXT = re.compile("|".join(CONTEXT), re.ASCII | re.IGNORECASE)
 _CANDIDATE = re.compile(CANDIDATE, re.ASCII)
+_HEX = re.compile(r"[0-9A-F]+|[0-9a-f]+")
+_KINDS = [(10, re.compile("[0-9]")), (26, re.compile("[A-Z]")), (26, re.compile("[a-z]")), (5, re.compile(r"[+/_=\-]"))]
 #: One pass of a linear-time matcher over a batch finds the texts worth a closer look.
 _ANY = "(?i:" + "|".join(CONTEXT) + ")|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 
@@ -62,22 +67,48 @@ def marginal_bytes(before: bytes, candidate: bytes, after: bytes = b"") -> int:
     return len(press.compress(before + candidate)) - len(press.compress(before))
 
 
+def random_bytes(candidate: str) -> float:
+    """About the bytes that zstandard needs for a random string of the candidate's length and alphabet
+    (the kinds of characters it has; letters up to f of one case alone, with digits, are hex digits)."""
+    if _HEX.fullmatch(candidate):
+        alphabet = 16
+    else:
+        alphabet = sum(n for n, p in _KINDS if p.search(candidate))
+    return min(len(candidate), len(candidate) * math.log2(alphabet) / 8 + TABLE_BYTES)
+
+
+def _without(text: str, begin: int, end: int, spans: list[tuple[int, int]]) -> bytes:
+    """text[begin:end] with a space for each of the spans (in order, disjoint) or part of one."""
+    k = bisect.bisect_right(spans, begin, key=lambda s: s[1])
+    out, at = [], begin
+    while k < len(spans) and spans[k][0] < end:
+        out.append(text[at : max(at, spans[k][0])])
+        at, k = spans[k][1], k + 1
+    return " ".join([*out, text[at:end]]).encode()
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates in a sensitive context that the compressor cannot derive from what stands around
-    them. What a base span holds is reported already."""
+    them. What a base span holds is reported already. Other strings of a candidate's form are left
+    out of the surroundings unless they stand before and are reported as novel: so of a secret that
+    stands again the first place is reported, and what repeats that place is derived from it."""
     words = [m.end() for m in _CONTEXT.finditer(text)]
     if not words:
         return []
-    found, k = [], 0
-    for m in _CANDIDATE.finditer(text):
+    runs = list(_CANDIDATE.finditer(text))
+    shut = [m.span() for m in runs]  # what candidates may not be derived from
+    found, k, gone = [], 0, 0
+    for at, m in enumerate(runs):
         while k + 1 < len(words) and words[k + 1] <= m.start():
             k += 1
         if not 0 <= m.start() - words[k] <= NEAR or any(s < m.end() and m.start() < e for s, e, _ in taken):
             continue
         raw = m[0].encode()
-        size = marginal_bytes(text[max(0, m.start() - AROUND) : m.start()].encode(), raw, text[m.end() : m.end() + AROUND].encode())
-        if size >= NOVEL_BYTES and size >= NOVEL_SHARE * len(raw):
+        size = marginal_bytes(_without(text, max(0, m.start() - AROUND), m.start(), shut), raw, _without(text, m.end(), min(len(text), m.end() + AROUND), shut))
+        if size >= NOVEL_BYTES and size >= NOVEL_SHARE * random_bytes(m[0]):
             found.append((m.start(), m.end(), "novel"))
+            shut.pop(at - gone)
+            gone += 1
     return found
 
 

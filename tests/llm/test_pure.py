@@ -136,6 +136,26 @@ def test_novel_spans():
     assert secrets.novel_spans("bearer qL9x_Zt7-Wm3Kp0vYc8R then bearer qL9x_Zt7-Wm3Kp0vYc8R", [])[1:] == []
 
 
+def test_a_secret_that_stands_again_is_reported():
+    rng = random.Random(4)
+    token = lambda n, abc: "".join(rng.choice(abc) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(50):
+        t = token(40, letters)
+        for text in (f"bearer {t}\nbearer {t}\n", f"bearer A_KEY={t} and bearer B_KEY={t}", f"seen {t} much further on, in another part of this text, there is again bearer {t}"):
+            assert any(t in text[s:e] for s, e, _ in secrets.novel_spans(text, []))
+
+
+def test_long_random_strings_of_few_kinds_of_characters():
+    rng = random.Random(5)
+    for n in (32, 64, 128, 256, 512):
+        for abc in ("0123456789ABCDEF", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+            text = "bearer " + "".join(rng.choice(abc) for _ in range(n))
+            assert secrets.novel_spans(text, []) == [(7, 7 + n, "novel")]
+    assert secrets.novel_spans("bearer " + "ABCDEFGH" * 16, []) == []
+    assert secrets.novel_spans("session " + "get_name_value_" * 20, []) == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 60), st.integers(1, 5), st.integers(0, 2**31))
 def test_sorted_access_finds_the_best(n, d, seed):
