@@ -17,7 +17,7 @@ FEATURES, MOST_POSITIVE, MOST_UNLABELLED, THRESHOLD = 1 << 18, 8_000, 24_000, 0.
 #: A word gives itself and its first 4 and 5 bytes as features.
 PREFIXES = (4, 5)
 #: Only features of at least this count and share of the positives, and this many times likelier in
-#: them than in unlabelled texts, get a weight: single texts' chance words cannot be learned by heart.
+#: them than in clean texts, get a weight: single texts' chance words cannot be learned by heart.
 LEAST_COUNT, LEAST_SHARE, LIFT = 3, 0.02, 2.5
 #: Bytes of text whose features are made at once.
 BLOCK = 1 << 20
@@ -91,14 +91,17 @@ def margins(model: tuple[np.ndarray, float], docs: list[tuple[np.ndarray, int]])
     return np.array([model[0][d].sum() / max(1, n) ** 0.5 + model[1] for d, n in docs])
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Which features may have a weight."""
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+    """Which features may have a weight. Unlabelled texts hold positives by the prior; what they hold
+    besides is the clean texts' share, so the lift that is asked does not depend on the prior."""
 
     def count(docs: list[np.ndarray]) -> np.ndarray:
         return sum((np.bincount(np.concatenate(docs[k : k + 1000]), minlength=FEATURES) for k in range(0, len(docs), 1000)), np.zeros(FEATURES, np.int64))
 
     p, u = count(positive), count(unlabelled)
-    return (p >= max(LEAST_COUNT, LEAST_SHARE * len(positive))) & ((p + 0.5) / (len(positive) + 1) > LIFT * (u + 0.5) / (len(unlabelled) + 1))
+    in_p, least = (p + 0.5) / (len(positive) + 1), 0.5 / (len(unlabelled) + 1)
+    in_clean = np.maximum((u + 0.5) / (len(unlabelled) + 1) - prior * in_p, least) / (1 - prior)
+    return (p >= max(LEAST_COUNT, LEAST_SHARE * len(positive))) & (in_p > LIFT * in_clean)
 
 
 def fit_calibrated(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
@@ -107,7 +110,7 @@ def fit_calibrated(positive: list[np.ndarray], unlabelled: list[np.ndarray], pri
     on every fourth text, scored by a model that has not seen it."""
     turn = lambda docs, keep: [d for i, d in enumerate(docs) if (i % 4 == 3) != keep]
     if positive and unlabelled:
-        on = telling(positive, unlabelled)
+        on = telling(positive, unlabelled, prior)
         positive, unlabelled = ([(d[on[d]], len(d)) for d in docs] for docs in (positive, unlabelled))
     model = fit_nnpu(positive, unlabelled, prior)
     if len(positive) < 8 or len(unlabelled) < 8:

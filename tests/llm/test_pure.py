@@ -181,5 +181,20 @@ def test_toxicity_learns_from_positives_and_unlabelled():
     assert (predicted & truth).sum() >= 95 and (predicted & ~truth).sum() <= 4
 
 
+@pytest.mark.parametrize("share", (0.1, 0.3, 0.5, 0.6))
+def test_telling_does_not_depend_on_the_prior(share):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    make = lambda bad: " ".join(rng.choices(words, k=60) + (rng.sample(["scum", "trash", "moron", "idiot"], 2) if bad else []))
+    feats = lambda n, bad: toxicity._feature_lists([make(bad) for _ in range(n)])
+    positive, mixture = feats(500, True), feats(int(2000 * (1 - share)), False) + feats(int(2000 * share), True)
+    marks = set(np.concatenate(toxicity._feature_lists(["scum", "trash", "moron", "idiot"])).tolist())
+    assert marks <= set(np.flatnonzero(toxicity.telling(positive, mixture, share)).tolist())
+    model = toxicity.fit_calibrated(positive, mixture, share)
+    scores = [toxicity.margins(model, [(x, len(x)) for x in feats(200, bad)]) for bad in (True, False)]
+    cut = np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
+    assert (scores[0] >= cut).sum() >= 190 and (scores[1] >= cut).sum() <= 4
+
+
 def test_held_out_rule():
     assert [zlib.crc32(str(i).encode()) % 4 == 2 for i in (0, 1, 2)] == [zlib.crc32(b"0") % 4 == 2, zlib.crc32(b"1") % 4 == 2, zlib.crc32(b"2") % 4 == 2]
