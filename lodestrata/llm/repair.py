@@ -16,8 +16,8 @@ from .common import Words, blocks, kept, lean, scratch, small_batches
 from .wordcache import UnitEncoder
 
 #: The id that ends each document. Ids in a shard, about; how often a pair must occur in it to become
-#: a rule; the least share of symbols that a further round must save.
-END, SHARD_IDS, LEAST_COUNT, LEAST_SAVED = 1, 1 << 20, 64, 0.02
+#: a rule.
+END, SHARD_IDS, LEAST_COUNT = 1, 1 << 20, 64
 _BUCKET_BITS = 20
 _BUCKETS = 1 << _BUCKET_BITS
 
@@ -103,9 +103,10 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
 
     A round counts the pairs of neighbours inside documents, and replaces by nonterminals those that
     occur LEAST_COUNT times or more: all such pairs at once, where two overlap the more frequent one
-    first. Rounds go on until no pair is frequent or a round saves less than LEAST_SAVED."""
+    first. Rounds go on until no pair is frequent, or none of those that are can be taken half as often.
+    A pair that waits for the one in its bucket comes in when a round takes nothing."""
     seq, base = ids.astype(np.uint32), int(ids.max(initial=0)) + 1
-    sizes, rules, lengths, n = sizes.astype(np.int64), [], [], base
+    sizes, rules, lengths, n, waiting = sizes.astype(np.int64), [], [], base, False
     while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
         bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKET_BITS)
@@ -118,7 +119,12 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         # One pair stands for a bucket; another that falls into it waits for a later round.
         in_, pairs = bucket[often], left[often].astype(np.uint64) << np.uint64(32) | right[often]
         stands = np.zeros(_BUCKETS, np.uint64)
-        stands[in_] = pairs
+        if waiting:  # the most frequent pair of each bucket
+            known, first, times = np.unique(pairs, return_index=True, return_counts=True)
+            by_count = np.argsort(times, kind="stable")
+            stands[in_[first[by_count]]] = known[by_count]
+        else:
+            stands[in_] = pairs
         same = stands[in_] == pairs
         often, in_ = often[same], in_[same]
         count = np.bincount(in_, minlength=_BUCKETS)
@@ -141,8 +147,12 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         used = np.bincount(mine[at], minlength=far)
         good = used >= LEAST_COUNT // 2
         at = at[good[mine[at]]]
-        if len(at) < LEAST_SAVED * len(seq):
-            break
+        if not len(at):
+            if waiting:
+                break
+            waiting = True
+            continue
+        waiting = False
         name = (np.cumsum(good) - 1 + n).astype(np.uint32)
         for p in by_rank[good].tolist():
             a, b = p >> 32, p & 0xFFFFFFFF

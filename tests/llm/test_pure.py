@@ -75,6 +75,20 @@ def test_repair_compresses_repeats():
     assert len(g["symbols"]) < len(ids) / 4 and len(g["rules"]) > 0
 
 
+def test_repair_goes_on_while_pairs_are_frequent(monkeypatch):
+    rng = np.random.default_rng(1)
+    noise = rng.integers(100, 1 << 20, 60_000)
+    noise[(np.arange(400) * 150)[:, None] + np.arange(12)] = np.arange(2, 14)  # 0.7% of the pairs, in rounds
+    for bits in (20, 4):  # few buckets: most pairs wait for others
+        monkeypatch.setattr(repair, "_BUCKET_BITS", bits)
+        monkeypatch.setattr(repair, "_BUCKETS", 1 << bits)
+        g = repair.compress(noise.astype(np.uint32), np.array([len(noise)]))
+        pairs = g["symbols"][:-1].astype(np.uint64) << np.uint64(32) | g["symbols"][1:]
+        assert np.unique(pairs, return_counts=True)[1].max() < repair.LEAST_COUNT
+        assert len(g["symbols"]) == len(noise) - 400 * 11
+        assert (repair.expand(g["symbols"], repair.openings(g["rules"], g["lengths"], g["base"])) == noise).all()
+
+
 def test_words_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
