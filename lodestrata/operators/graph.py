@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import base
+
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; where the session has no folder for it (tests), one is made."""
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lodestrata-"))
+        sc.setCheckpointDir(base(df.sparkSession))
     return df.checkpoint()
 
 
