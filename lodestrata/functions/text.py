@@ -11,35 +11,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query keys that only track a visitor (besides utm_*).
-TRACKING_KEYS = ("fbclid", "gclid", "spm", "from", "source", "share_token", "scene")
-#: Event types in the order in which they are tried, their phase, and words for them.
+TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "spm", "from", "from_source", "ref", "referrer", "source")
+#: Event types in the order in which they are tried, their phase, words for them (in
+#: either case), and their older names.
 SIGNALS = (
-    ("executive_change", "build_organize", r"任命|履新|接任|升任|新任|换帅|人事调整|出任|调任|appointed|joins? as"),
-    ("merger_acquisition", "strategy_capital", r"并购|收购|控股权|控制权变更|要约收购|acquisition|acquires?|merger"),
-    ("joint_venture_or_spinout", "build_organize", r"合资公司|成立合资|分拆|拆分|独立运营|spin[- ]?off|joint venture"),
-    ("ipo_or_listing", "strategy_capital", r"上市辅导|辅导备案|递交招股书|申报上市|启动上市|ipo|initial public offering"),
-    ("factory_or_capacity", "strategy_capital", r"工厂|基地|产线|扩产|产能|设备入场|量产|投产|制造中心"),
-    ("funding", "strategy_capital", r"融资|增资|战略投资|入股|募资|funding|raises?|raised|venture round|seed round|series [a-f]"),
-    ("global_expansion", "build_organize", r"出海|海外市场|全球市场|国际化|海外子公司|海外基地"),
-    ("partnership", "build_organize", r"战略合作|生态伙伴|合作协议|联合解决方案|签署合作"),
+    ("executive_change", "build_organize", r"任命|履新|接任|升任|新任|换帅|人事调整|出任|调任|(?:加盟|加入).{0,18}(?:董事长|总裁|副总裁|总经理|CEO|CTO|COO|首席|董事|总监)|appointed|joins? as|named .{0,30}(?:ceo|cto|coo|president|general manager|vice president|managing director)", ("leadership",)),
+    ("merger_acquisition", "strategy_capital", r"并购|收购|控股权|控制权变更|要约收购|acquisition|acquires?|merger", ("m_and_a", "change_of_control")),
+    ("joint_venture_or_spinout", "build_organize", r"合资公司|成立合资|分拆|拆分|独立运营|spin[- ]?off|joint venture", ("joint_venture", "spinout")),
+    ("ipo_or_listing", "strategy_capital", r"上市辅导|辅导备案|递交招股书|申报上市|启动上市|ipo|initial public offering", ("listing_preparation",)),
+    ("new_site_or_entity", "build_organize", r"区域总部|新设子公司|成立子公司|新事业部|第二总部|研发中心|运营中心|落户", ("new_subsidiary", "regional_hq", "new_business_unit")),
+    ("factory_or_capacity", "strategy_capital", r"工厂|基地|产线|扩产|产能|设备入场|量产|投产|制造中心", ("capacity_expansion", "mass_production")),
+    ("project_buildout", "strategy_capital", r"项目启动|项目开工|建设项目|项目落地|竣工|投运|装置建成", ("project_approval",)),
+    ("project_call", "build_organize", r"项目征集|揭榜挂帅|场景征集|供应商征集|申报通知|项目申报|project call", ("pilot_program", "supplier_call")),
+    ("eia_or_permit", "strategy_capital", r"环境影响|环评|拟审查|建设项目受理|用地获批|施工许可|批复", ("land_or_environment",)),
+    ("procurement_intention", "strategy_capital", r"采购意向|拟采购|预算金额|采购预算|计划采购", ()),
+    ("procurement_tender", "strategy_capital", r"公开招标|招标公告|采购公告|竞争性磋商|竞争性谈判", ()),
+    ("major_order", "strategy_capital", r"重大订单|亿元订单|中标|定点|供应商|框架合同|采购合同|批量订单", ("award_or_supplier", "contract_award")),
+    ("customer_validation", "build_organize", r"客户验证|通过验证|供应商认证|准入|首批交付|批量交付|复购", ("product_validation",)),
+    ("funding", "strategy_capital", r"融资|增资|战略投资|入股|募资|funding|raises?|raised|venture round|seed round|series [a-f]", ("financing", "industrial_fund")),
+    ("global_expansion", "build_organize", r"出海|海外市场|全球市场|国际化|进入.{0,20}市场|海外子公司|海外基地", ("market_expansion",)),
+    ("channel_expansion", "build_organize", r"渠道体系|经销商|代理商|渠道伙伴|全国渠道|销售网络|服务网络", ()),
+    ("technical_milestone", "build_organize", r"发布|首发|亮相|展示|技术突破|试验成功|样机|迭代|首飞|点火|试车|流片成功|验证成功", ("product_launch", "technology_milestone")),
+    ("data_or_model", "build_organize", r"数据集|数据采集|大模型|vla|vtla|技能库|训练平台|数据平台", ()),
+    ("regulatory_or_clinical", "build_organize", r"获批|注册证|临床试验|临床研究|受理|审评|审批|适航", ("regulatory_approval", "clinical_milestone")),
+    ("research_or_ip", "build_organize", r"联合实验室|研究院|联合研究中心|专利授权|技术许可|知识产权|首席科学家", ("research_program", "technology_asset")),
+    ("enterprise_system", "build_organize", r"\bERP\b|\bMES\b|\bPLM\b|\bCRM\b|数字化转型|信息化升级|系统上线", ("digital_transformation",)),
+    ("partnership", "build_organize", r"战略合作|生态伙伴|合作协议|联合解决方案|签署合作", ()),
+    ("policy_or_standard", "build_organize", r"牵头.{0,20}标准|参与制定.{0,20}标准|入选.{0,20}试点|示范名单", ()),
+    ("workforce_cluster", "build_organize", r"(?:经理|专家|工程师).{0,20}(?:招聘|岗位|职位)|(?:招聘|岗位|职位).{0,20}(?:经理|专家|工程师)", ()),
+    ("job_ad", "recruit", r"招聘|职位|岗位|加入我们", ()),
 )
-#: Advertisements are told before all events; an ended undertaking is no event.
-JOB_AD = r"招聘|职位|岗位|加入我们"
+#: Told before all other events; and what ends an undertaking, which is no event.
+RECRUITING = ("workforce_cluster", "job_ad")
 ENDED = r"关闭|削减|终止|撤回|撤销|取消|暂停|停产|搁置|解散|破产|裁员|shutdown|cancel(?:led|ed)?|withdrawn?|terminated?|layoffs?"
-#: Older names of event types.
-ALIASES = {
-    "leadership": "executive_change",
-    "m_and_a": "merger_acquisition",
-    "change_of_control": "merger_acquisition",
-    "joint_venture": "joint_venture_or_spinout",
-    "spinout": "joint_venture_or_spinout",
-    "listing_preparation": "ipo_or_listing",
-    "capacity_expansion": "factory_or_capacity",
-    "mass_production": "factory_or_capacity",
-    "financing": "funding",
-    "industrial_fund": "funding",
-    "market_expansion": "global_expansion",
-}
+#: Words of titles that tell a director or above; that do so with two words of scope; that
+#: tell a rank below; the words of scope; and those of ownership, which a "head of" needs.
+TARGET_TITLES = ("董事长", "首席执行官", "首席技术官", "首席运营官", "首席人力资源官", "总裁", "副总裁", "总经理", "事业部负责人", "事业部总经理", "基地负责人", "工厂负责人", "中心主任", "总监")
+CONDITIONAL_TITLES = ("首席科学家", "chief scientist", "总师", "chief engineer", "负责人")
+LOWER_TITLES = ("高级经理", "资深经理", "经理", "主管", "高级专家", "资深专家", "专家", "principal", "staff", "fellow", "individual contributor")
+SCOPE = ("团队搭建", "组建团队", "团队管理", "预算", "p&l", "损益", "招聘决策", "绩效管理", "跨部门", "向ceo汇报", "向cto汇报", "向总经理汇报", "全面负责")
+OWNERSHIP = ("负责", "全面负责", "团队管理", "预算", "p&l", "owns ", "own ", "leads ", "lead ", "accountable", "reports to")
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 32) -> Column:
@@ -165,28 +176,47 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-def signal(text: Column) -> Column:
-    """(event_type, phase) of a text: the first rule in order that fits; advertisements before events,
-    ended undertakings not at all."""
+def signal(text: Column, workforce: bool = True) -> Column:
+    """(event_type, phase) of a text: ended undertakings are no event, then recruiting (without
+    `workforce` only plain advertisements), then the first other type in order that fits."""
+    text = F.coalesce(text, F.lit(""))
+    found = lambda pattern: text.rlike(f"(?iuU){pattern}")
     pair = lambda kind, phase: F.struct(F.lit(kind).alias("event_type"), F.lit(phase).alias("phase"))
-    out = F.when(text.rlike(f"(?i){ENDED}"), pair("other", "ignore")).when(text.rlike(JOB_AD), pair("job_ad", "recruit"))
-    for kind, phase, pattern in SIGNALS:
-        out = out.when(text.rlike(f"(?i){pattern}"), pair(kind, phase))
+    out = F.when(found(ENDED), pair("other", "ignore"))
+    for early in (True, False):
+        for kind, phase, pattern, _ in SIGNALS:
+            if (kind in RECRUITING) == early and (workforce or kind != "workforce_cluster"):
+                out = out.when(found(pattern), pair(kind, phase))
     return out.otherwise(pair("other", "build_organize"))
 
 
 def canonical_event_type(kind: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, F.trim(kind)), F.trim(kind))
+    """The type that a name or an older name stands for; any other name as it is."""
+    older = [F.lit(x) for name, _, _, names in SIGNALS for old in names for x in (old, name)]
+    return F.coalesce(F.try_element_at(F.create_map(*older), F.trim(kind)), F.trim(kind), F.lit(""))
 
 
-def seniority(title: Column) -> Column:
-    """director_plus, below_director_or_ic or unknown, by ordered rules on a title."""
-    t = F.lower(F.trim(title))
+def scope_terms(title: Column, description: Column) -> Column:
+    """The words of scope that a title or its description has, in order."""
+    whole = F.lower(F.concat_ws(" ", F.trim(F.coalesce(title, F.lit(""))), F.coalesce(description, F.lit(""))))
+    return F.array_compact(F.array(*[F.when(F.contains(whole, F.lit(t)), F.lit(t)) for t in SCOPE]))
+
+
+def seniority(title: Column, description: Column | None = None) -> Column:
+    """director_plus, below_director_or_ic or unknown, by ordered rules on a title; what its description
+    owns decides for heads of something, and its words of scope for chief scientists and the like."""
+    description = F.lit("") if description is None else F.coalesce(description, F.lit(""))
+    t, about = F.lower(F.trim(F.coalesce(title, F.lit("")))), F.lower(description)
+    any_of = lambda text, terms: F.exists(F.array(*[F.lit(x) for x in terms]), lambda x: F.contains(text, x))
+    senior = r"(?:director|head|vice\s+president|vp)"
     return (
-        F.when(t.rlike(r"\b(associate|assistant|deputy)\s+(director|head|vice\s+president|vp)\b|副总监|总监助理|副主任"), "below_director_or_ic")
-        .when(t.rlike(r"\b(director|vice\s+president|svp|evp|vp|cxo|general\s+manager)\b|总监|总经理|副总裁"), "director_plus")
-        .when(t.rlike(r"\b(engineer|manager|analyst|clerk|assistant)\b|工程师|经理|专员"), "below_director_or_ic")
+        F.when(t.rlike(rf"(?U)\b(?:associate|assistant|deputy)\s+{senior}\b|\b{senior}\s+(?:assistant|deputy)\b"), "below_director_or_ic")
+        .when(t.rlike("副主任|主任助理|副总监|总监助理|总监储备"), "below_director_or_ic")
+        .when(t.rlike("(?:经理|专家).*(?:总监|负责人)|(?:总监|负责人).*(?:经理|专家)"), "below_director_or_ic")
+        .when(any_of(t, TARGET_TITLES) | t.rlike(r"(?U)\b(?:director|vice\s+president|svp|evp|vp|cxo|general\s+manager)\b"), "director_plus")
+        .when(t.rlike(r"(?U)(?<![a-z])head(?:\s+of|[\s,:/-]|$)"), F.when(any_of(about, OWNERSHIP), "director_plus").otherwise("unknown"))
+        .when(any_of(t, CONDITIONAL_TITLES) & (F.size(scope_terms(title, description)) >= 2), "director_plus")
+        .when(any_of(t, LOWER_TITLES), "below_director_or_ic")
         .otherwise("unknown")
     )
 
@@ -217,9 +247,22 @@ def tags(text: Column, rules: dict[str, str]) -> Column:
 
 
 def byte_parts(text: Column, most: int) -> Column:
-    """The text in parts of at most `most` UTF-8 bytes, between characters (ASCII: exact)."""
-    n = F.greatest(F.ceil(F.octet_length(text) / most), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, (i * most + 1).cast("int"), F.lit(most)))
+    """The text in parts of at most `most` UTF-8 bytes, cut between characters, each as long as fits (a
+    character of more bytes is a part of its own). An empty text is one part."""
+    char = F.split(text, "")
+    nothing = F.array().cast("array<struct<at:int,n:int,size:int>>")
+
+    def step(cuts: Column, one: Column) -> Column:
+        # The last part, and where it stands: it grows while it fits.
+        last, size = F.element_at(cuts, -1), F.octet_length(one)
+        grown = F.struct(last["at"].alias("at"), (last["n"] + 1).alias("n"), (last["size"] + size).alias("size"))
+        fresh = F.struct((last["at"] + last["n"]).alias("at"), F.lit(1).alias("n"), size.alias("size"))
+        fits = (last["n"] == 0) | (last["size"] + size <= most)
+        return F.when(fits, F.concat(F.slice(cuts, 1, F.size(cuts) - 1), F.array(grown))).otherwise(F.concat(cuts, F.array(fresh)))
+
+    start = F.array(F.struct(F.lit(1).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("size")))
+    cuts = F.aggregate(F.when(F.octet_length(text) > most, char).otherwise(F.array().cast("array<string>")), F.concat(nothing, start), step)
+    return F.when(F.octet_length(text) <= most, F.array(text)).otherwise(F.transform(cuts, lambda c: F.substring(text, c["at"], c["n"])))
 
 
 def masked(text: Column, start: Column, end: Column) -> Column:

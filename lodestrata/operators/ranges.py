@@ -74,17 +74,24 @@ def kuhn(edges: list[tuple], rows: list) -> dict:
         near.setdefault(r, []).append(c)
     owner: dict = {}
 
-    def place(r, seen) -> bool:
-        for c in near.get(r, ()):
-            if c not in seen:
-                seen.add(c)
-                if c not in owner or place(owner[c], seen):
-                    owner[c] = r
-                    return True
-        return False
-
-    for r in rows:
-        place(r, set())
+    for first in rows:
+        # A search for a path of exchanges, without recursion: each step holds a row and what it still tries.
+        seen: set = set()
+        path: list[tuple] = [(first, iter(near.get(first, ())), None)]
+        while path:
+            row, rest, _ = path[-1]
+            column = next((c for c in rest if c not in seen), None)
+            if column is None:
+                path.pop()
+                continue
+            seen.add(column)
+            if column in owner:
+                path.append((owner[column], iter(near.get(owner[column], ())), column))
+                continue
+            for row, _, came_by in reversed(path):  # every row takes what it found, and frees what it had
+                owner[column] = row
+                column = came_by
+            break
     return {r: c for c, r in owner.items()}
 
 

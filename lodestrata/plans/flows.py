@@ -12,7 +12,7 @@ from lodestrata.streaming import windows as W
 from .catalog import query, table
 
 
-@query()
+@query("select user_id, event_id, event_type, value from events")
 def src1_evidence_json(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "value"))).alias("evidence"))).alias("value"))
     rows = F.from_json("value", "struct<evidence:array<struct<event_id:long,event_type:string,value:double>>>")["evidence"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.operators import policy as O
 from lodestrata.operators import ranges as J
 from lodestrata.operators import rows as R
 
@@ -94,10 +95,15 @@ def flt13_violations(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("["), F.array_join(v, ", "), F.lit("]")).alias("violations"))
 
 
-@query("""select doc_id, len(list_filter(string_split_regex(text, '\\n'), lambda s: contains(s, 'tion')))::int as sentences from documents""")
+@query("""with x as (select c_custkey, c_custkey % 3 as t, c_custkey % 4 as s from customer)
+select c_custkey, case t when 0 then ['Acme grows', 'Acme grows ACME hires! Beta sells。', 'Acme grows Beta sells。acme wins', 'Acme grows nobody'][(s + 1)::int]
+  when 1 then ['', 'ACME hires!', 'acme wins', ''][(s + 1)::int] else '' end as told from x""")
 def flt16_attributable_context(spark, d):
-    lines = F.filter(F.split("text", "\n"), lambda s: F.contains(s, F.lit("tion")))
-    return table(spark, d, "documents").select("doc_id", F.size(lines).alias("sentences"))
+    k = F.col("c_custkey")
+    title = F.when(k % 3 == 0, "Acme grows").when(k % 3 == 1, "A day").otherwise("Beta grows")
+    snippet = F.when(k % 4 == 1, "ACME hires! Beta sells。").when(k % 4 == 2, "Beta sells。acme wins").when(k % 4 == 3, "nobody").otherwise("")
+    titled = F.when(k % 3 == 2, F.array(F.lit("Beta"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "customer").select("c_custkey", O.attributable(F.lit("Acme"), title, snippet, titled).alias("told"))
 
 
 @query("""select c_custkey, replace(replace(c_name || ' of ' || c_mktsegment, c_mktsegment, '***'), 'Customer', '***') as safe from customer""")
@@ -245,8 +251,7 @@ def join17_full_coverage(spark, d):
 
 @query()
 def join18_cluster_events(spark, d):
-    e = table(spark, d, "events").where("event_type != 'view'")
-    return J.cluster_events(e, ["user_id", "event_type"], "ts", "event_id", 2.0).select("user_id", "event_type", "event_id", "event", F.floor("occurred").alias("occurred"))
+    return J.cluster_events(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 2.0).select("user_id", "event_type", "event_id", "event", F.floor("occurred").alias("occurred"))
 
 
 @query("""select u.user_id, cutoff::date as cutoff, k.kind, count(e.event_id) as n from (select distinct user_id from events) u cross join (select unnest([date '2024-01-10', date '2024-01-20', date '2024-01-30']) as cutoff) cross join (select unnest(['view', 'purchase']) as kind) k left join events e on e.user_id = u.user_id and e.event_type = k.kind and e.ts::date <= cutoff group by all""")
@@ -265,19 +270,8 @@ def join20_bipartite_matching(spark, d):
     return J.matching(li.where("(l * 7 + r) % 9 = 0"), "g", "l", "r")
 
 
-@query("""with t as (select doc_id, lower(regexp_replace(left(text, 4000), '\\s+', '', 'g')) as x from documents where n_chars between 100 and 1500),
-s as (select doc_id, list_distinct(list_transform(generate_series(1, length(x) - 6), lambda i: substr(x, i::bigint, 7))) as s from t),
-p as (select a.doc_id as a, b.doc_id as b, a.s as sa, b.s as sb from s a join s b on a.doc_id < b.doc_id and len(a.s) / len(b.s) between 0.75 and 1.34 and list_has_any(a.s[1:60] || a.s[-60:], b.s))
-select a, b, round(len(list_intersect(sa, sb)) / len(list_distinct(sa || sb)), 6) as jaccard from p where len(list_intersect(sa, sb)) / len(list_distinct(sa || sb)) >= 0.85""".replace("\\\\s", "\\s"))
-def join21_near_duplicates(spark, d):
-    docs = table(spark, d, "documents").where("n_chars between 100 and 1500")
-    x = F.lower(F.regexp_replace("text", r"\s+", ""))
-    pairs = J.similar_sets(docs.select("doc_id", T.char_grams(x, 7).alias("s")), "doc_id", "s", 0.85)
-    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
-
-
 @query()
-def join21_near_duplicates_whole(spark, d):
+def join21_near_duplicates(spark, d):
     docs = _squeezed(table(spark, d, "documents"))
     pairs = J.similar_sets(docs.select("doc_id", T.char_grams(F.col("x"), 7).alias("s")), "doc_id", "s", 0.85)
     length = docs.select("doc_id", F.length("x").alias("n"))
@@ -291,23 +285,12 @@ def _squeezed(docs):
     return docs.select("doc_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("x"))
 
 
-@query("""select a.doc_id as a, b.doc_id as b from documents a join documents b on substr(a.text, 1, 20) = substr(b.text, 1, 20) and a.doc_id < b.doc_id and a.n_chars / b.n_chars between 0.75 and 1.34""")
-def join22_blocked_prefix(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "n_chars", F.substring("text", 1, 20).alias("k"))
-    y = x.select(F.col("doc_id").alias("b"), F.col("n_chars").alias("m"), "k")
-    return x.join(y, "k").where((F.col("doc_id") < F.col("b")) & (F.col("n_chars") / F.col("m")).between(0.75, 1.34)).select(F.col("doc_id").alias("a"), "b")
-
-
 @query()
-def join22_blocked_prefix_verified(spark, d):
-    pairs = join22_blocked_prefix(spark, d)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    docs = _squeezed(table(spark, d, "documents").join(wanted, "doc_id", "left_semi"))
-    sets = docs.select("doc_id", F.array_distinct(F.transform(T.char_grams(F.col("x"), 7), lambda g: F.xxhash64(g))).alias("s"))
-    a, b = (sets.select(F.col("doc_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    found = pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
-    return found.where("jaccard >= 0.85").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+def join22_blocked_prefix(spark, d):
+    # Similar pairs first, then the block: a common opening never meets itself.
+    opening = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 20).alias("k"))
+    a, b = (opening.select(F.col("doc_id").alias(x), F.col("k").alias(f"k{x}")) for x in "ab")
+    return join21_near_duplicates(spark, d).join(a, "a").join(b, "b").where("ka = kb").select("a", "b", "jaccard")
 
 
 @query("""with k as (select p_brand as entity, lower(p_name || ' ' || p_size) as alias from part group by 1, 2), u as (select alias, min(entity) as entity from k group by 1 having count(distinct entity) = 1)

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import maps as M
+from lodestrata.functions import rules as U
 from lodestrata.functions import text as T
 from lodestrata.functions import time as D
 from lodestrata.operators import graph as G
+from lodestrata.operators import policy as O
 from lodestrata.operators import ranges as J
 from lodestrata.operators import rows as R
 from lodestrata.operators import scoring as S
@@ -143,16 +145,21 @@ def flt12_strict_rows(spark, d):
     return strict.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@query("select p_partkey from part where length(p_name) between 5 and 30 and regexp_matches(p_name, '^[a-z]+ [a-z]+$') and p_name not in ('red gear', 'old bolt') and not regexp_matches(p_name, '(nut|pin)')")
+@query("select p_partkey from part where p_name = 'new pin' or (length(p_name) between 5 and 30 and p_name not in ('red gear', 'old bolt') and not contains(p_name, 'nut') and not contains(p_name, 'pin') and regexp_matches(p_name, '(gear|bolt|rod|ring|widget)$'))")
 def flt14_plausible_company(spark, d):
-    n = F.col("p_name")
-    return table(spark, d, "part").where(F.length(n).between(5, 30) & n.rlike("^[a-z]+ [a-z]+$") & ~n.isin("red gear", "old bolt") & ~n.rlike("(nut|pin)")).select("p_partkey")
+    fits = O.plausible_name(F.col("p_name"), ("new pin",), ("red gear", "old bolt"), ("nut", "pin"), "GEAR|bolt|rod|ring|widget", (5, 30))
+    return table(spark, d, "part").where(fits).select("p_partkey")
 
 
-@query("select doc_id, contains(lower(text), 'tion') as mentioned, coalesce(list_filter(string_split(text, chr(10)), lambda s: contains(lower(s), 'tion'))[1], '') as context from documents")
+@query("""with x as (select c_custkey, c_custkey % 3 as t, c_custkey % 4 as s, c_custkey % 2 as other from customer)
+select c_custkey, case t when 0 then case s when 0 then 'Acme grows ' when 1 then 'Acme grows ACME hires! Beta sells.' when 2 then 'Acme grows Beta sells. acme wins' else 'Acme grows nobody' end
+  when 1 then case s when 1 then 'ACME hires!' when 2 then 'Beta sells. acme wins' else '' end else '' end as told from x""")
 def flt15_mention_context(spark, d):
-    lines = F.filter(F.split("text", "\n"), lambda s: F.contains(F.lower(s), F.lit("tion")))
-    return table(spark, d, "documents").select("doc_id", F.contains(F.lower("text"), F.lit("tion")).alias("mentioned"), F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("context"))
+    k = F.col("c_custkey")
+    title = F.when(k % 3 == 0, "Acme grows").when(k % 3 == 1, "A day").otherwise("Beta grows")
+    snippet = F.when(k % 4 == 1, "ACME hires! Beta sells.").when(k % 4 == 2, "Beta sells. acme wins").when(k % 4 == 3, "nobody").otherwise("")
+    titled = F.when(k % 3 == 0, F.array(F.lit("Acme"))).when(k % 3 == 2, F.array(F.lit("Beta"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "customer").select("c_custkey", O.relevant_text(F.lit("Acme"), F.array(F.lit("Acme"), F.lit("acme inc")), title, snippet, titled).alias("told"))
 
 
 @query("select o_orderkey from orders where o_orderstatus in ('O', 'P') and (contains(o_orderpriority, 'URGENT') or contains(o_orderpriority, 'HIGH')) order by o_totalprice desc, o_orderkey limit 30")
@@ -162,10 +169,19 @@ def flt17_opportunity_search(spark, d):
     return table(spark, d, "orders").where(F.col("o_orderstatus").isin("O", "P") & hit).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30).select("o_orderkey")
 
 
-@query("""select s_suppkey, s_acctbal >= 0 and s_nationkey not in (3, 4) as allowed, array_to_string(list_filter(['negative', 'region'], lambda x: (x = 'negative' and s_acctbal < 0) or (x = 'region' and s_nationkey in (3, 4))), ',') as reasons, case when s_acctbal >= 0 then 180 else 30 end as retention from supplier""")
+@query("""with s as (select s_suppkey, s_suppkey % 2 = 0 as granted, s_suppkey % 3 = 0 as robots, s_suppkey % 5 <> 0 as pub, ['open', 'licensed', 'restricted', 'unknown'][(s_suppkey % 4 + 1)::int] as licence, s_suppkey % 7 = 0 as api from supplier)
+select s_suppkey, (pub or granted) and not (api and not granted) and robots and not (licence = 'restricted' and not granted) as allowed,
+  concat_ws(',', case when not pub and not granted then 'source_not_public_or_authorized' end, case when api and not granted then 'authorization_required' end, case when not robots then 'robots_policy_disallows_collection' end,
+    case when licence = 'restricted' and not granted then 'restricted_source_without_permission' end, 'private_contact_fields_excluded', 'unapproved_fields_excluded', case when licence not in ('open', 'licensed') then 'full_text_retention_downgraded' end, 'retention_period_capped') as reasons,
+  'url,public_note' as collect, 'phone,salary' as excluded, case when licence in ('open', 'licensed') then 90 else 0 end as days from s""")
 def flt19_collection_policy(spark, d):
-    reasons = F.array_compact(F.array(F.when(F.col("s_acctbal") < 0, "negative"), F.when(F.col("s_nationkey").isin(3, 4), "region")))
-    return table(spark, d, "supplier").select("s_suppkey", (F.size(reasons) == 0).alias("allowed"), F.array_join(reasons, ",").alias("reasons"), F.when(F.col("s_acctbal") >= 0, 180).otherwise(30).alias("retention"))
+    k = F.col("s_suppkey")
+    yes, named = F.lit(True), lambda *x: F.array(*[F.lit(v) for v in x])
+    licence = F.element_at(named("open", "licensed", "restricted", "unknown"), (k % 4 + 1).cast("int"))
+    source = F.struct(F.lit(False).alias("bypass"), (k % 5 != 0).alias("public"), (k % 2 == 0).alias("authorized"), F.when(k % 7 == 0, "official_api").otherwise("public_web").alias("basis"), (k % 3 == 0).alias("robots"), yes.alias("terms"), licence.alias("licence"), yes.alias("full_text"), F.lit(90).alias("max_days"))
+    wanted = F.struct(named("url", "phone", "salary", "public_note", "url").alias("fields"), yes.alias("full_text"), F.lit(180).alias("days"))
+    rows = table(spark, d, "supplier").select("s_suppkey", source.alias("s"), wanted.alias("w")).select("s_suppkey", O.collection_decision(F.col("s"), F.col("w")).alias("d"))
+    return rows.select("s_suppkey", "d.allowed", *[F.array_join(f"d.{c}", ",").alias(c) for c in ("reasons", "collect", "excluded")], "d.days")
 
 
 @query("""select conv_id, string_agg(distinct code, ',' order by code) as codes from (select conv_id, unnest(list_filter(['empty', 'long', 'role'], lambda c: (c = 'empty' and length(coalesce(text, '')) = 0) or (c = 'long' and length(text) > 400) or (c = 'role' and role = 'system' and turn > 0))) as code from conversations) group by 1""")
@@ -269,17 +285,20 @@ def str12_shingles(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(T.char_grams(x, 5)).alias("shingles"))
 
 
-@query(r"select p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' (' || p_type || ')'), '\([^)]*\)', '', 'g'), '[^a-z]+', ' ', 'g')) as role_key from part")
+@query(r"""select p_partkey, case when p_partkey % 3 = 2 then 'kind' when contains(p_name, 'gear') or contains(p_name, 'widget') then 'kind' when contains(p_name, 'red') or contains(p_name, 'blue') then 'color' else 'other' end || ':' ||
+  case p_partkey % 3 when 0 then regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || '量产' when 1 then regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') else '技术' end as role_key from part""")
 def str17_role_key(spark, d):
-    raw = F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))
-    return table(spark, d, "part").select("p_partkey", F.trim(F.regexp_replace(F.regexp_replace(F.lower(raw), r"\([^)]*\)", ""), "[^a-z]+", " ")).alias("role_key"))
+    k, n = F.col("p_partkey") % 3, F.col("p_name")
+    title = F.when(k == 0, F.concat(n, F.lit("批量化 总监"))).when(k == 1, F.concat(F.lit("高级 "), n, F.lit(" Director"))).otherwise("技术总监")
+    about = F.when(k == 2, "a gear, red").otherwise("")
+    return table(spark, d, "part").select("p_partkey", U.role_key(title, about, {"color": ("red", "blue"), "kind": ("gear", "widget")}).alias("role_key"))
 
 
-@query("select c_custkey, case when c_mktsegment in ('BUILDING', 'MACHINERY') then case when c_acctbal > 5000 then 'multi' else 'plant' end else coalesce(nullif(c_mktsegment, 'HOUSEHOLD'), 'home') end as city from customer")
+@query("""select c_custkey, ['苏州', '上海', '上海', '上海', '上海', '呼和浩特', '上海', '和田'][(c_custkey % 8 + 1)::int] as city, c_custkey % 8 not in (0, 5, 7) as defaulted from customer""")
 def str25_role_city(spark, d):
-    seg = F.col("c_mktsegment")
-    site = F.when(F.col("c_acctbal") > 5000, "multi").otherwise("plant")
-    return table(spark, d, "customer").select("c_custkey", F.when(seg.isin("BUILDING", "MACHINERY"), site).otherwise(F.coalesce(F.nullif(seg, F.lit("HOUSEHOLD")), F.lit("home"))).alias("city"))
+    said = F.array(*[F.lit(x) for x in (" 苏州 ", "", "苏州、无锡", "多地", "北京和上海", "呼和浩特", "北京或上海", "和田")])
+    city = O.one_city(F.element_at(said, (F.col("c_custkey") % 8 + 1).cast("int")), F.lit("公告"))
+    return table(spark, d, "customer").select("c_custkey", city.alias("c")).select("c_custkey", "c.city", (F.col("c.basis") != "公告").alias("defaulted"))
 
 
 @query("select c_custkey, concat_ws('; ', case when c_acctbal > 8000 then 'rich' end, case when c_nationkey < 5 then 'near' end, lower(c_mktsegment)) as thesis from customer")
@@ -307,13 +326,8 @@ def dt3_first_date_in_text(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.coalesce(found, F.col("o_orderdate").cast("date")).cast("string").alias("day"))
 
 
-@query("select c_custkey, unnest([last_day(date '2023-11-01'), last_day(date '2023-12-01'), last_day(date '2024-01-01')]) as cutoff from customer where c_custkey < 50")
-def dt6_monthly_cutoffs(spark, d):
-    return table(spark, d, "customer").where("c_custkey < 50").select("c_custkey", F.explode(D.cutoffs_before(F.lit("2024-02-15").cast("date"), 3)).alias("cutoff"))
-
-
 @query("select c_custkey, unnest([last_day(date '2023-11-01'), last_day(date '2023-12-01'), last_day(date '2024-01-01')]) as cutoff from customer")
-def dt6_monthly_cutoffs_whole(spark, d):
+def dt6_monthly_cutoffs(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.explode(D.cutoffs_before(F.lit("2024-02-15").cast("date"), 3)).alias("cutoff"))
 
 
@@ -337,15 +351,9 @@ def jsn9_claim_relations(spark, d):
     return table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("claim"), F.inline(ends))
 
 
-@query("""with u as (select doc_id, i, s, case when regexp_matches(s, '(?i)(^| )tion') then 2 when regexp_matches(s, '(?i)heit') then 1 else 0 end as p from (select doc_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as s from (select doc_id, string_split(text, chr(10)) as l from documents where doc_id < 300)))
-select doc_id, arg_max(i, (p, -i)) as line, max(p) as priority from u where p > 0 group by 1""")
-def ext1_priority_events(spark, d):
-    return _priority_lines(table(spark, d, "documents").where("doc_id < 300"))
-
-
 @query("""with u as (select doc_id, i, s, case when regexp_matches(s, '(?i)(^| )tion') then 2 when regexp_matches(s, '(?i)heit') then 1 else 0 end as p from (select doc_id, unnest(generate_series(0, len(l) - 1)) as i, unnest(l) as s from (select doc_id, string_split(text, chr(10)) as l from documents)))
 select doc_id, arg_max(i, (p, -i)) as line, max(p) as priority from u where p > 0 group by 1""")
-def ext1_priority_events_whole(spark, d):
+def ext1_priority_events(spark, d):
     return _priority_lines(table(spark, d, "documents"))
 
 
@@ -371,9 +379,9 @@ def ext3_combined_events(spark, d):
     return R.best_per_key(both, ["user_id", "event_type"], _c("src", "event_id")).select("user_id", "event_type", "event_id")
 
 
-@query("select doc_id, unnest(list_distinct(regexp_extract_all(substr(text, 1, 400), '[A-Z][a-z]{5,}')[1:3])) as company from documents")
+@query("select doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}')[1:3])) as company from documents")
 def ext5_three_companies(spark, d):
-    found = F.regexp_extract_all(F.substring("text", 1, 400), F.lit("[A-Z][a-z]{5,}"), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))
     return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.slice(found, 1, 3))).alias("company"))
 
 
@@ -398,11 +406,13 @@ def ext23_events_to_evidence(spark, d):
     return table(spark, d, "events").where("event_type in ('purchase', 'signup') and value > 60").select("user_id", "event_id", F.round(F.col("value") / 100, 4).alias("confidence"), F.lit("A").alias("grade"))
 
 
-@query("select user_id, case when count(distinct event_type) filter (where value > 50) >= 3 then 'strong' when count(*) filter (where value > 50) >= 1 then 'weak' else 'none' end as gate from events group by 1")
+@query("""with u as (select user_id, event_type, event_id % 4 as g, event_type in ('purchase', 'signup') and value > 90 as strong from events where event_type <> 'view' and event_id % 5 <> 0),
+n as (select user_id, count(*) as n, count(distinct event_type) as kinds, count(distinct g) filter (where g <> 0) as groups, bool_or(strong) as strong from u group by 1)
+select user_id, coalesce(n, 0) > 0 as upstream, coalesce(strong or (n >= 2 and kinds >= 2 and groups >= 2), false) as near_term from (select distinct user_id from events) left join n using (user_id)""")
 def ext24_hypothesis_gate(spark, d):
-    high = F.col("value") > 50
-    g = table(spark, d, "events").groupBy("user_id").agg(F.countDistinct(F.when(high, F.col("event_type"))).alias("kinds"), F.count_if(high).alias("n"))
-    return g.select("user_id", F.when(F.col("kinds") >= 3, "strong").when(F.col("n") >= 1, "weak").otherwise("none").alias("gate"))
+    group = F.when(F.col("event_id") % 4 == 0, " ").otherwise((F.col("event_id") % 4).cast("string"))
+    e = table(spark, d, "events").select("user_id", "event_type", group.alias("source"), F.when(F.col("value") > 90, "a").otherwise("B").alias("grade"), (F.col("event_id") % 5 == 0).alias("late"))
+    return O.evidence_gate(e, "user_id", "event_type", "source", "grade", "late", ("purchase", "signup"), "view")
 
 
 @query("select doc_id, len(regexp_extract_all(text, 'tion'))::int * 2 + len(regexp_extract_all(text, 'heit'))::int as score from documents")
@@ -410,15 +420,8 @@ def ext28_topic_matching(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.regexp_count("text", F.lit("tion")) * 2 + F.regexp_count("text", F.lit("heit"))).alias("score"))
 
 
-@query("""with recursive s as (select c_custkey as a, 1000000 + c_nationkey as b from customer where c_custkey % 5 = 0 and c_nationkey < 3 union all select 1000000 + c_nationkey, c_custkey from customer where c_custkey % 5 = 0 and c_nationkey < 3),
-r as (select a as node, a as reach from s union select r.node, s.b from r join s on r.reach = s.a) select node, min(reach) as component from r where node < 1000000 group by 1""")
-def gr4_shared_company_cases(spark, d):
-    e = table(spark, d, "customer").where("c_custkey % 5 = 0 and c_nationkey < 3").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") + 1000000).cast("long").alias("b"))
-    return G.components(e, "a", "b").where("node < 1000000")
-
-
 @query()
-def gr4_shared_company_cases_whole(spark, d):
+def gr4_shared_company_cases(spark, d):
     # Companies stand on negative nodes, which no case key meets; a component is named by its least case.
     e = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (-1 - F.col("c_nationkey")).cast("long").alias("b"))
     found = G.components(e, "a", "b").where("node >= 0")
@@ -481,24 +484,24 @@ def st5_staleness(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg((F.datediff(F.lit("2001-08-02").cast("date"), F.max("o_orderdate").cast("date")) > S.STALE_DAYS).alias("stale"))
 
 
-@query("""with l as (select event_type as provider, ts::date as day, user_id, event_id, case event_id % 3 when 0 then 'reserve' when 1 then 'commit' else 'release' end as op, (event_id % 6 + 1) as points from events)
-select provider, day, sum(case op when 'reserve' then points when 'release' then -points else 0 end)::bigint as held, coalesce(sum(points) filter (where op = 'commit'), 0)::bigint as spent from l group by 1, 2""")
+@query("""with recursive r as (select event_type as provider, ts::date as day, event_id // 2 as operation, event_id % 6 + 1 as points, event_id % 3 = 0 as committed, row_number() over (partition by event_type, ts::date order by event_id) as i from events),
+f as (select provider, day, operation, points, committed, i, points <= 30 as passed, case when points <= 30 then points else 0 end as used, case when points <= 30 then [operation] else [] end as known from r where i = 1
+  union all select r.provider, r.day, r.operation, r.points, r.committed, r.i, not list_contains(f.known, r.operation) and f.used + r.points <= 30,
+    case when not list_contains(f.known, r.operation) and f.used + r.points <= 30 then f.used + r.points else f.used end, case when not list_contains(f.known, r.operation) and f.used + r.points <= 30 then list_append(f.known, r.operation) else f.known end
+  from f join r on r.provider = f.provider and r.day = f.day and r.i = f.i + 1)
+select provider, day, operation, points, case when not passed then 'refused' when committed then 'spent' else 'reserved' end as state from f""")
 def st10_budget_ledger(spark, d):
-    op, points = F.col("event_id") % 3, F.col("event_id") % 6 + 1
-    e = table(spark, d, "events").groupBy(F.col("event_type").alias("provider"), F.col("ts").cast("date").alias("day"))
-    return e.agg(F.sum(F.when(op == 0, points).when(op == 2, -points).otherwise(0)).alias("held"), F.coalesce(F.sum(F.when(op == 1, points)), F.lit(0)).alias("spent"))
+    asked = table(spark, d, "events").select(F.col("event_type").alias("provider"), F.col("ts").cast("date").alias("day"), "event_id", F.floor(F.col("event_id") / 2).alias("operation"), (F.col("event_id") % 6 + 1).alias("points"), (F.col("event_id") % 3 == 0).alias("committed"))
+    return O.budget_ledger(asked, ["provider", "day"], F.col("event_id"), "operation", "points", "committed", 30)
 
 
-@query("""with h as (select user_id, max(ts) as shown, list_distinct(list(event_type)) as urls from events where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-17' group by 1), n as (select user_id, list_distinct(list(event_type)) as urls from events where ts >= timestamp '2024-01-17' and ts < timestamp '2024-01-19' group by 1),
-p as (select distinct user_id from events where ts < timestamp '2024-01-10')
+@query("""with h as (select user_id, list_distinct(list(event_type)) as urls from events where ts::date >= date '2024-01-10' and ts::date < date '2024-01-17' group by 1), n as (select user_id, list_distinct(list(event_type)) as urls from events where ts::date = date '2024-01-17' group by 1),
+p as (select distinct user_id from events where ts::date < date '2024-01-10')
 select n.user_id, case when h.user_id is null and p.user_id is null then 'new' when h.user_id is null then 'returning' when len(list_filter(n.urls, lambda x: not list_contains(h.urls, x))) > 0 then 'new evidence' else 'cooling' end as segment from n left join h using (user_id) left join p on n.user_id = p.user_id""")
 def st11_cooldown(spark, d):
-    e = table(spark, d, "events")
-    part = lambda lo, hi: e.where(f"ts >= timestamp_ntz'{lo}' and ts < timestamp_ntz'{hi}'").groupBy("user_id").agg(F.collect_set("event_type").alias("urls"))
-    shown, now = part("2024-01-10", "2024-01-17").withColumnRenamed("urls", "old"), part("2024-01-17", "2024-01-19")
-    ever = e.where("ts < timestamp_ntz'2024-01-10'").select("user_id").distinct().withColumn("ever", F.lit(True))
-    seg = F.when(F.col("old").isNull() & F.col("ever").isNull(), "new").when(F.col("old").isNull(), "returning").when(F.size(F.array_except("urls", "old")) > 0, "new evidence").otherwise("cooling")
-    return now.join(shown, "user_id", "left").join(ever, "user_id", "left").select("user_id", seg.alias("segment"))
+    daily = table(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.collect_set("event_type").alias("urls"))
+    today = F.lit("2024-01-17").cast("date")
+    return O.cooled(daily.where(F.col("day") == today).drop("day"), daily.where(F.col("day") < today), "user_id", "urls", "day", today)
 
 
 @query("""with l as (select user_id, max(ts) as ts, arg_max(event_type, (ts, event_id)) as state from events group by 1) select user_id, case when state = 'view' and ts < timestamp '2024-01-30 12:00:00' then 'reclaim' when state = 'view' then 'claimed' else 'free' end as claim from l""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import maps as M
+from lodestrata.functions import rules as U
 from lodestrata.functions import text as T
 from lodestrata.functions import time as D
 from lodestrata.operators import extraction as X
@@ -16,9 +17,9 @@ from .catalog import query, table
 DAY = "2024-01-31"
 
 
-@query(r"""select page_id, lower(split_part(url, '://', 1)) || '://' || lower(regexp_extract(split_part(url, '://', 2), '^([^/?#]*)', 1)) || regexp_extract(split_part(regexp_replace(url, '#.*$', ''), '://', 2), '^[^/?]*([^?]*)', 1)
-|| case when len(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' and not starts_with(p, 'utm_'))) > 0
- then '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'), lambda p: p <> '' and not starts_with(p, 'utm_'))), '&') else '' end as url from pages""")
+@query(r"""with u as (select page_id, lower(split_part(url, '://', 1)) as scheme, regexp_replace(split_part(url, '://', 2), '#.*$', '') as rest from pages),
+q as (select *, list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(split_part(p, '=', 1)), '^(utm_.*|fbclid|gclid|mc_cid|mc_eid|spm|from|from_source|ref|referrer|source)$'))) as kept from u)
+select page_id, scheme || '://' || lower(regexp_extract(rest, '^([^/?]*)', 1)) || regexp_extract(rest, '^[^/?]*([^?]*)', 1) || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as url from q""")
 def str2_normalize_url(spark, d):
     return table(spark, d, "pages").select("page_id", T.plain_url(F.col("url")).alias("url"))
 
@@ -53,13 +54,8 @@ def str8_sentences(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
 
 
-@query("""select doc_id, i as unit, (i * 900)::int as start, substr(text, (i * 900 + 1)::bigint, 1000) as text from (select doc_id, text, unnest(generate_series(0, greatest(ceil((length(text) - 100) / 900.0), 1)::bigint - 1))::int as i from documents where doc_id < 200)""")
-def str9_chunk_windows(spark, d):
-    return X.windows(table(spark, d, "documents").where("doc_id < 200"), "doc_id", "text", 1000, 100)
-
-
 @query("""select doc_id, i as unit, (i * 900)::int as start, substr(text, (i * 900 + 1)::bigint, 1000) as text from (select doc_id, text, unnest(generate_series(0, greatest(ceil((length(text) - 100) / 900.0), 1)::bigint - 1))::int as i from documents)""")
-def str9_chunk_windows_whole(spark, d):
+def str9_chunk_windows(spark, d):
     return X.windows(table(spark, d, "documents"), "doc_id", "text", 1000, 100)
 
 
@@ -75,10 +71,20 @@ def str11_ngrams(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.size(g).alias("grams"), F.size(F.array_intersect(g, F.array(*[F.lit(x) for x in ("HO", "US", "SE", "EH", "OL", "LD")]))).alias("shared"))
 
 
-@query()
+#: Titles, what is said of them, and the rank that they stand for.
+RANKED = (
+    ("Associate Director", "owns a team", "below_director_or_ic"), ("Site Quality Head", "owns site quality", "director_plus"), ("Head, TCO", "owns the function", "director_plus"), ("算法经理", "向总经理汇报并跨部门协作", "below_director_or_ic"),
+    ("Assistant Head of Quality", "owns quality", "below_director_or_ic"), ("MVP Product Manager", "owns the roadmap", "unknown"), ("Head of Quality", "advises the team", "unknown"), ("Deputy VP", "owns sales", "below_director_or_ic"),
+    ("VP Assistant", "supports sales", "below_director_or_ic"), ("SVP, Operations", "owns operations", "director_plus"), ("General Manager, Greater China", "", "director_plus"), ("发射技术中心主任", "全面负责中心团队", "director_plus"),
+    ("发射技术中心副主任", "", "below_director_or_ic"), ("中心主任助理", "", "below_director_or_ic"), ("销售总监储备", "", "below_director_or_ic"), ("销售经理/总监", "", "below_director_or_ic"),
+    ("首席科学家", "团队搭建，预算", "director_plus"), ("首席科学家", "团队搭建", "unknown"), ("Principal Engineer", "", "below_director_or_ic"), ("Overhead crane driver", "", "unknown"),
+)
+
+
+@query("select c_custkey, (" + repr([r[2] for r in RANKED]) + ")[(c_custkey % " + str(len(RANKED)) + " + 1)::int] as level from customer")
 def str13_seniority(spark, d):
-    titles = F.element_at(F.array(*[F.lit(t) for t in ("Director of Sales", "Deputy Director", "Vice President", "Engineer", "销售总监", "副总监", "Head")]), (F.col("c_custkey") % 7 + 1).cast("int"))
-    return table(spark, d, "customer").select("c_custkey", T.seniority(titles).alias("level"))
+    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in RANKED]), (F.col("c_custkey") % len(RANKED) + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", T.seniority(pick(0), pick(1)).alias("level"))
 
 
 @query("""select doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') as word, contains(lower(text), 'tion') as part from documents""")
@@ -87,21 +93,32 @@ def str15_term_match(spark, d):
 
 
 @query("""with k as (select * from (values ('small', 'size'), ('big', 'size'), ('red', 'color'), ('blue', 'color'), ('widget', 'kind'), ('gear', 'kind')) t(term, family)),
-h as (select p_partkey, family, count(*) as n from part join k on contains(p_name, term) group by 1, 2) select p_partkey, arg_max(family, (n, family)) as family from h group by 1""")
+w as (select p_partkey, p_name, p_type, ' ' || regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g') || ' ' as t, ' ' || regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g') || ' ' as b from part),
+h as (select p_partkey, family, sum(contains(t, ' ' || term || ' ')::int) as n, sum(contains(b, ' ' || term || ' ')::int) as m from w, k group by 1, 2),
+f as (select p_partkey, arg_max(family, (n, family)) as one, max(n) as n, arg_max(family, (m, family)) as two, max(m) as m from h group by 1)
+select p_partkey, case when contains(lower(p_name), 'nut') then 'fastener' when n > 0 then one when m > 0 then two else 'other' end as family from f join w using (p_partkey)""")
 def str16_role_family(spark, d):
     terms = {"size": ("small", "big"), "color": ("red", "blue"), "kind": ("widget", "gear")}
-    scores = F.array(*[F.struct(sum((F.contains("p_name", F.lit(t)).cast("int") for t in ts), F.lit(0)).alias("n"), F.lit(f).alias("family")) for f, ts in terms.items()])
-    best = F.array_max(scores)
-    return table(spark, d, "part").select("p_partkey", best.alias("b")).where("b.n > 0").select("p_partkey", "b.family")
+    return table(spark, d, "part").select("p_partkey", U.role_family(F.col("p_name"), F.col("p_type"), terms, [("nut", "fastener")]).alias("family"))
+
+
+#: Texts, and the event and phase that they tell.
+TOLD = (
+    ("公司任命新的中国区总裁", "executive_change", "build_organize"), ("刘某加入公司担任中国区总经理", "executive_change", "build_organize"), ("The board named Jane Doe CEO", "executive_change", "build_organize"), ("公司加入产业生态联盟", "other", "build_organize"),
+    ("完成对目标公司的控股权收购", "merger_acquisition", "strategy_capital"), ("双方成立合资公司独立运营", "joint_venture_or_spinout", "build_organize"), ("正式启动上市辅导", "ipo_or_listing", "strategy_capital"), ("新设华东区域总部", "new_site_or_entity", "build_organize"),
+    ("新产线正式投产", "factory_or_capacity", "strategy_capital"), ("重点项目开工", "project_buildout", "strategy_capital"), ("场景征集", "project_call", "build_organize"), ("取得施工许可", "eia_or_permit", "strategy_capital"),
+    ("发布采购意向，预算金额一亿元", "procurement_intention", "strategy_capital"), ("竞争性磋商", "procurement_tender", "strategy_capital"), ("公司中标", "major_order", "strategy_capital"), ("产品通过头部客户验证", "customer_validation", "build_organize"),
+    ("Acme RAISED a seed round", "funding", "strategy_capital"), ("进入东南亚市场", "global_expansion", "build_organize"), ("启动全国经销商渠道体系", "channel_expansion", "build_organize"), ("新品亮相", "technical_milestone", "build_organize"),
+    ("自研大模型", "data_or_model", "build_organize"), ("获得医疗器械注册证", "regulatory_or_clinical", "build_organize"), ("与高校成立联合研究中心", "research_or_ip", "build_organize"), ("集团 MES 改造", "enterprise_system", "build_organize"),
+    ("签署合作", "partnership", "build_organize"), ("牵头国家标准", "policy_or_standard", "build_organize"), ("新工厂招聘机械工程师和软件专家", "workforce_cluster", "build_organize"), ("新工厂招聘", "job_ad", "recruit"),
+    ("关闭工厂并削减产能", "other", "ignore"), ("funding round cancelled", "other", "ignore"), ("nothing of the kind", "other", "build_organize"),
+)
 
 
-@query("""with x as (select event_id, event_type || case event_id % 6 when 0 then ' funding' when 1 then ' acquisition closed' when 2 then ' IPO filed' when 3 then ' funding cancelled' when 4 then ' joint venture' else ' news' end as t from events)
-select event_id, case when regexp_matches(t, 'cancel') then 'other' when regexp_matches(t, '(?i)acquisition') then 'merger_acquisition' when regexp_matches(t, '(?i)joint venture') then 'joint_venture_or_spinout' when regexp_matches(t, '(?i)ipo') then 'ipo_or_listing' when regexp_matches(t, '(?i)funding') then 'funding' else 'other' end as event_type,
-case when regexp_matches(t, 'cancel') then 'ignore' when regexp_matches(t, '(?i)acquisition|ipo|funding') then 'strategy_capital' else 'build_organize' end as phase from x""")
+@query("select event_id, (" + repr([t[1] for t in TOLD]) + ")[i] as event_type, (" + repr([t[2] for t in TOLD]) + ")[i] as phase from (select event_id, (event_id % " + str(len(TOLD)) + " + 1)::int as i from events)")
 def str18_signal(spark, d):
-    word = F.element_at(F.array(*[F.lit(x) for x in (" funding", " acquisition closed", " IPO filed", " funding cancelled", " joint venture", " news")]), (F.col("event_id") % 6 + 1).cast("int"))
-    e = table(spark, d, "events").select("event_id", T.signal(F.concat("event_type", word)).alias("s"))
-    return e.select("event_id", "s.event_type", "s.phase")
+    text = F.element_at(F.array(*[F.lit(t[0]) for t in TOLD]), (F.col("event_id") % len(TOLD) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", T.signal(text).alias("s")).select("event_id", "s.event_type", "s.phase")
 
 
 @query("select event_id, case event_id % 3 when 0 then 'funding' when 1 then 'executive_change' else event_type end as kind from events")
@@ -116,10 +133,10 @@ def str20_source_grade(spark, d):
     return table(spark, d, "pages").select("page_id", T.source_grade(host, ("example.org",), ("example.net",)).alias("grade"))
 
 
-@query(r"select doc_id, array_to_string(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,9}\b')), ',') <> '' as named, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,9}\b')))::int as n from documents where lang = 'en'")
+@query(r"select doc_id, array_to_string(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,9}\b')), ',') <> '' as named, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,9}\b')))::int as n from documents")
 def str21_extract_names(spark, d):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{6,9}\b"), F.lit(0)))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", (F.size(found) > 0).alias("named"), F.size(found).alias("n"))
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{6,9}(?![A-Za-z0-9_])"), F.lit(0)))
+    return table(spark, d, "documents").select("doc_id", (F.size(found) > 0).alias("named"), F.size(found).alias("n"))
 
 
 @query("select p_partkey, array_to_string(list_filter(['hot', 'metal', 'round'], lambda x: (x = 'hot' and contains(p_name, 'hot')) or (x = 'metal' and regexp_matches(p_name, 'bolt|nut|gear')) or (x = 'round' and regexp_matches(p_name, 'ring|rod'))), ',') as tags from part")
@@ -127,23 +144,47 @@ def str22_industry_tags(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(T.tags(F.col("p_name"), {"hot": "hot", "metal": "bolt|nut|gear", "round": "ring|rod"}), ",").alias("tags"))
 
 
-@query("select p_partkey, case when p_size >= 40 then 'series ' || chr((65 + p_size % 6)::int) else 'seed' end as round from part")
+@query("""select p_partkey, ([chr((65 + p_size % 6)::int) || '轮', chr((65 + p_size % 6)::int) || '++轮', 'Pre-' || chr((65 + p_size % 6)::int), 'Pre-IPO', '战略融资', '', '', '种子轮'])[(p_partkey % 8 + 1)::int] as round from part""")
 def str24_round(spark, d):
-    raw = F.when(F.col("p_size") >= 40, F.concat(F.lit("Series-"), F.char(65 + F.col("p_size") % 6), F.lit(" round"))).otherwise("SEED financing")
-    letter = F.upper(F.regexp_extract(raw, r"(?i)series[ -]?([a-f])", 1))
-    return table(spark, d, "part").select("p_partkey", F.when(letter != "", F.concat(F.lit("series "), letter)).when(raw.rlike("(?i)seed"), "seed").alias("round"))
+    letter = F.char(65 + F.col("p_size") % 6)
+    said = F.array(F.concat(letter, F.lit("轮（首期）")), F.concat(F.lit(" "), letter, F.lit("++ ")), F.concat(F.lit("Pre-"), letter, F.lit("轮")), F.lit("pre ipo轮融资"), F.lit("战略轮"), F.lit("未披露"), F.lit("新一轮融资"), F.lit("种子轮"))
+    return table(spark, d, "part").select("p_partkey", U.normal_round(F.element_at(said, (F.col("p_partkey") % 8 + 1).cast("int"))).alias("round"))
 
 
-@query("select c_custkey, (c_mktsegment like 'A%')::int * 3 + (c_acctbal > 5000)::int * 2 - (c_acctbal < 0)::int * 4 + case when c_nationkey in (1, 2, 3) then 1 else 0 end as score from customer")
+@query("""with h as (select c_custkey, c_custkey % 2 = 0 as named, c_custkey % 3 = 0 as ranked, c_custkey % 5 = 0 as recruits, c_custkey % 7 = 0 as paper, case c_custkey % 4 when 0 then date '2024-03-01' when 1 then date '2024-01-01' when 2 then null else date '2024-02-28' end as day from customer)
+select c_custkey, named::int * 3 + ranked::int * 3 + 2 + recruits::int + (day is not null)::int - (not coalesce(day > date '2024-01-01' and day < date '2024-03-01', false))::int * 4 - paper::int * 5 as score,
+  case when paper then 'low' when coalesce(day > date '2024-01-01' and day < date '2024-03-01', false) and named and ranked then 'high' else 'low' end as priority from h""")
 def str30_triage_score(spark, d):
-    i = lambda c: c.cast("int")
-    c = F.col
-    return table(spark, d, "customer").select("c_custkey", (i(c("c_mktsegment").startswith("A")) * 3 + i(c("c_acctbal") > 5000) * 2 - i(c("c_acctbal") < 0) * 4 + F.when(c("c_nationkey").isin(1, 2, 3), 1).otherwise(0)).alias("score"))
+    k = F.col("c_custkey")
+    pick = lambda n, yes, no="": F.when(k % n == 0, yes).otherwise(no)
+    title = F.concat(pick(2, "Acme "), pick(3, "Director "), pick(7, "论文 "), F.lit("job"))
+    url = F.concat(F.lit("https://"), pick(5, "jobs.example.org", "example.org"), F.lit("/job/1"))
+    day = F.when(k % 4 == 0, "2024-03-01").when(k % 4 == 1, "2024年1月1日").when(k % 4 == 3, "20240228")
+    names = U.company_aliases(F.lit("Acme Robotics (中国)"), F.array().cast("array<string>"))
+    hit = U.triage(names, F.lit("x after:2024-01-01 before:2024-03-01"), title, F.lit("career"), url, day)
+    return table(spark, d, "customer").select("c_custkey", hit.alias("t")).select("c_custkey", "t.score", "t.priority")
+
+
+@query("""with x as (select c_custkey, (c_custkey % 6)::int as k from customer) select c_custkey, unnest(list_concat(['Custome', 'r#' || lpad(c_custkey::varchar, 5, '0')[:5], 'abcd' || repeat('é', least(k, 1))],
+  list_transform(generate_series(0, greatest(ceil((k - 1) / 3.0), 0)::int - 1), lambda j: repeat('é', least(3, k - 1 - 3 * j)::int)))) as part from x""")
+def str31_byte_parts(spark, d):
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("Customer#"), F.substring(F.lpad(k.cast("string"), F.greatest(F.length(k.cast("string")), F.lit(5)), F.lit("0")), 1, 5), F.lit("abcd"), F.repeat(F.lit("é"), (k % 6).cast("int")))
+    return table(spark, d, "customer").select("c_custkey", F.explode(T.byte_parts(text, 7)).alias("part"))
 
 
-@query("select c_custkey, unnest(list_transform(generate_series(0, greatest(ceil(strlen(c_name) / 7.0), 1)::bigint - 1), lambda i: substr(c_name, i * 7 + 1, 7))) as part from customer")
-def str31_byte_parts(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.explode(T.byte_parts(F.col("c_name"), 7)).alias("part"))
+@query(r"""select page_id, case when host in ('example.org', 'www.example.org') then 'https://example.org' || rtrim(path, '/') else url end as url,
+  case page_id % 6 when 0 then '2024-02-03' when 1 then '2024-02-03T07:00:00+08:00' when 2 then '2024-02-03T11:30:00+08:00' when 3 then '2024-02-02' when 4 then '2024-02-01' else '' end as published
+from (select page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) as host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) as path from pages)""")
+def str32_site_forms(spark, d):
+    said = F.element_at(F.array(*[F.lit(x) for x in ("2024-02-03", "5小时前", " 30 分钟前", "昨天", "前天", "刚刚")]), (F.col("page_id") % 6 + 1).cast("int"))
+    now = F.to_timestamp(F.lit("2024-02-03 04:00:00"))
+    return table(spark, d, "pages").select("page_id", U.site_url(F.col("url"), ("example.org", "www.example.org"), "https://example.org").alias("url"), U.site_date(said, now).alias("published"))
+
+
+@query("select o_orderkey, (o_orderdate::date + 7)::date as expires from orders")
+def dt13_draft_expiry(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", U.expiry(F.col("o_orderdate")).alias("expires"))
 
 
 @query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as at from orders")
@@ -170,9 +211,9 @@ def dt5_month_arithmetic(spark, d):
     return table(spark, d, "orders").select("o_orderkey", D.shifted_months(day, 3).alias("shifted"), D.month_end(day).alias("month_end"), D.month_end(day, -2).alias("before"))
 
 
-@query("select l_orderkey, l_linenumber, abs(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6 as days from lineitem join orders on l_orderkey = o_orderkey where l_quantity = 50")
+@query("select l_orderkey, l_linenumber, abs(epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6 as days from lineitem join orders on l_orderkey = o_orderkey")
 def dt7_days_apart(spark, d):
-    li, o = table(spark, d, "lineitem").where("l_quantity = 50"), table(spark, d, "orders")
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", D.days_apart(F.col("l_shipdate"), F.col("o_orderdate")).alias("days"))
 
 
@@ -248,15 +289,9 @@ def jsn8_dotted_path(spark, d):
     return table(spark, d, "events").select("event_id", M.dotted(F.col("props"), "k").alias("k"), M.dotted(nested, "a.b.c").alias("deep"))
 
 
-@query(r"""with s as (select doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?。！？；\n])', '\1' || chr(1), 'g'), chr(1))) as t from documents where doc_id < 300)
-select doc_id, sum(ceil(length(t) / 5000.0))::bigint as units, sum(length(t))::bigint as chars from s group by 1""")
-def ext9_units(spark, d):
-    return _unit_sums(table(spark, d, "documents").where("doc_id < 300"))
-
-
 @query(r"""with s as (select doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?。！？；\n])', '\1' || chr(1), 'g'), chr(1))) as t from documents)
 select doc_id, sum(ceil(length(t) / 5000.0))::bigint as units, sum(length(t))::bigint as chars from s where t <> '' group by 1""")
-def ext9_units_whole(spark, d):
+def ext9_units(spark, d):
     return _unit_sums(table(spark, d, "documents"))
 
 

@@ -6,7 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import maps, text, time
+from lodestrata.functions import maps, rules, text, time
 from lodestrata.operators import extraction, graph, learning, ranges, rows
 from lodestrata.sources import readers
 
@@ -38,17 +38,84 @@ def test_names():
 
 
 def test_seniority(spark):
-    titles = {"Director of Sales": "director_plus", "Deputy Director": "below_director_or_ic", "销售总监": "director_plus", "副总监": "below_director_or_ic", "Software Engineer": "below_director_or_ic", "Poet": "unknown"}
+    titles = {"Director of Sales": "director_plus", "Deputy Director": "below_director_or_ic", "销售总监": "director_plus", "副总监": "below_director_or_ic", "算法经理": "below_director_or_ic", "Software Engineer": "unknown", "Poet": "unknown"}
     got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", text.seniority(F.col("t")).alias("s")).collect()
     assert {r["t"]: r["s"] for r in got} == titles
 
 
 def test_signals_in_order(spark):
-    cases = {"公司完成融资": "funding", "招聘工厂经理": "job_ad", "融资终止": "other", "并购融资": "merger_acquisition", "x": "other"}
+    cases = {"公司完成融资": "funding", "招聘工厂经理": "workforce_cluster", "招聘": "job_ad", "融资终止": "other", "并购融资": "merger_acquisition", "x": "other"}
     got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", text.signal(F.col("t"))["event_type"].alias("s")).collect()
     assert {r["t"]: r["s"] for r in got} == cases
 
 
+def test_workforce_words_can_be_left_out(spark):
+    row = spark.createDataFrame([("招聘工厂经理",)], "t string").select(text.signal(F.col("t"), workforce=False)["event_type"]).first()
+    assert row[0] == "job_ad"
+
+
+def test_older_names_of_events(spark):
+    names = {"clinical_milestone": "regulatory_or_clinical", "supplier_call": "project_call", " financing ": "funding", "own_word": "own_word"}
+    got = spark.createDataFrame([(n,) for n in names], "t string").select("t", text.canonical_event_type(F.col("t")).alias("k")).collect()
+    assert {r["t"]: r["k"] for r in got} == names
+
+
+@pytest.mark.parametrize("most", (1, 3, 4, 7, 100))
+def test_byte_parts(spark, most):
+    texts = ["", "a", "ééééé", "abc日本語🙂def", "🙂🙂", "x" * 50, "naïve " * 5]
+
+    def by_hand(t):
+        parts, now = [], ""
+        for c in t:
+            if now and len((now + c).encode()) > most:
+                parts.append(now)
+                now = ""
+            now += c
+        return [*parts, now] if now or not parts else parts
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.byte_parts(F.col("t"), most).alias("p")).collect()
+    assert {r["t"]: r["p"] for r in got} == {t: by_hand(t) for t in texts}
+
+
+def test_rounds(spark):
+    cases = {" A轮 ": "A轮", "B": "B轮", "C++轮（首期）": "C++轮", "Pre-A轮": "Pre-A", "pre ipo 轮": "pre ipo 轮", "Pre-IPO轮融资": "Pre-IPO", "preIPO": "Pre-IPO", "战略轮": "战略融资", "未知": "", "新一轮": "", "天使轮": "天使轮", "a": "a", None: ""}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", rules.normal_round(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in got} == cases
+
+
+def test_aliases_and_triage(spark):
+    row = spark.createDataFrame([("灵巧科技（中国） / Dex-Hand",)], "c string").select(rules.company_aliases(F.col("c"), F.array(F.lit("Dex Robotics"))).alias("a")).first()
+    assert row["a"] == ["dex robotics", "dex-hand", "灵巧科技", "dex"] or set(row["a"]) >= {"灵巧科技", "dex-hand", "dex robotics", "dex"}
+    assert "中国" not in row["a"] and "robotics" not in row["a"]
+    hits = [
+        ("Acme招聘总监", "", "https://www.liepin.com/job/1", "2024-02-03", 10, "high"),
+        ("Acme 总监", "", "https://www.liepin.com/x", "2024-02-03", 8, "medium"),
+        ("Acme论文", "总监", "https://x.org/job/1", "2024-02-03", 2, "low"),
+        ("other", "", "https://x.org/", None, -4, "low"),
+    ]
+    rows = spark.createDataFrame([h[:4] for h in hits], "t string, s string, u string, d string")
+    t = rules.triage(F.array(F.lit("acme")), F.lit("acme after:2024-01-01 before:2024-03-01"), F.col("t"), F.col("s"), F.col("u"), F.col("d"))
+    assert [(r["t"]["score"], r["t"]["priority"]) for r in rows.select(t.alias("t")).collect()] == [h[4:] for h in hits]
+
+
+def test_long_augmenting_paths():
+    n = 3000  # row i may take columns i and i + 1; the last one asks all others to move
+    edges = [(i, i + 1) for i in range(n)] + [(i, i) for i in range(1, n)] + [(n, n)]
+    found = ranges.kuhn(edges, list(range(n, -1, -1)))
+    assert len(found) == n and len(set(found.values())) == n and all((r, c) in set(edges) for r, c in found.items())
+    chain = [(i, c) for i in range(n) for c in (i, i + 1)] + [(n, 0)]
+    assert len(ranges.kuhn(chain, [*range(n), n])) == n + 1
+
+
+def test_streams_of_part_files(spark, sf_dir, tmp_path):
+    from lodestrata.plans import catalog
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("st1_stream_dedup", "st4_first_last_seen", "st_tumbling_window", "st_sliding_window", "st_session_window"):
+        one, parts = (sorted(map(repr, catalog.QUERIES[name](spark, d).collect())) for d in (sf_dir, str(tmp_path)))
+        assert one and one == parts
+
+
 def test_slots(spark):
     m = lambda **k: F.create_map(*[F.lit(x) for kv in k.items() for x in kv]) if k else F.create_map().cast("map<string,string>")
     one = lambda a, b, days: spark.range(1).select(maps.slots_compatible(a, b, F.lit(days), F.lit(45.0)).alias("x")).first()["x"]

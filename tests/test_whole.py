@@ -29,17 +29,17 @@ def by_hand(edges):
 def test_documents_beyond_the_first(spark, folder):
     line = "one tion. two heit!\n"
     d = folder(documents=([(5000, line * 120)], "doc_id long, text string"), customer=([(7000,)], "c_custkey long"))
-    windows = catalog.QUERIES["str9_chunk_windows_whole"](spark, d).orderBy("unit").collect()
+    windows = catalog.QUERIES["str9_chunk_windows"](spark, d).orderBy("unit").collect()
     text = line * 120
     assert [(r["start"], r["text"]) for r in windows] == [(i, text[i : i + 1000]) for i in range(0, len(text) - 100, 900)]
-    assert [tuple(r) for r in catalog.QUERIES["ext9_units_whole"](spark, d).collect()] == [(5000, 360, len(text))]
-    assert [tuple(r) for r in catalog.QUERIES["ext1_priority_events_whole"](spark, d).collect()] == [(5000, 0, 2)]
-    assert catalog.QUERIES["dt6_monthly_cutoffs_whole"](spark, d).count() == 3
+    assert [tuple(r) for r in catalog.QUERIES["ext9_units"](spark, d).collect()] == [(5000, 360, len(text))]
+    assert [tuple(r) for r in catalog.QUERIES["ext1_priority_events"](spark, d).collect()] == [(5000, 0, 2)]
+    assert catalog.QUERIES["dt6_monthly_cutoffs"](spark, d).count() == 3
 
 
 def test_all_suppliers(spark, folder):
     d = folder(lineitem=([(900, k) for k in range(4)] + [(901, k) for k in range(2, 6)], "l_suppkey long, l_partkey long"))
-    assert [tuple(r) for r in catalog.QUERIES["agg26_coefficients_whole"](spark, d).collect()] == [(900, 901, round(2 / 6, 8), 0.5)]
+    assert [tuple(r) for r in catalog.QUERIES["agg26_coefficients"](spark, d).collect()] == [(900, 901, round(2 / 6, 8), 0.5)]
 
 
 def test_whole_items_ground(spark, folder):
@@ -47,7 +47,7 @@ def test_whole_items_ground(spark, folder):
     docs = [(1, f"x {item} y"), (2, item[:45]), (3, "short and tiny"), (4, None)]
     d = folder(benchmark=([(99, item), (100, "tiny"), (101, "")], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
     want = {(i, k) for i, q in ((99, item), (100, "tiny"), (101, "")) for k, t in docs if t and q in t}
-    assert {(r["item_id"], r["doc_id"]) for r in catalog.QUERIES["ext22_grounding_whole"](spark, d).collect()} == want
+    assert {(r["item_id"], r["doc_id"]) for r in catalog.QUERIES["ext22_grounding"](spark, d).collect()} == want
 
 
 def test_all_edges(spark, folder):
@@ -56,7 +56,7 @@ def test_all_edges(spark, folder):
     d = folder(lineitem=([(a, b, 7.0) for a, b in edges], "l_orderkey long, l_partkey long, l_quantity double"), customer=(cases, "c_custkey long, c_nationkey int"))
     assert {r["node"]: r["component"] for r in catalog.QUERIES["gr1_components"](spark, d).collect()} == by_hand(edges)
     want = {k: min(c for c, n in cases if n == m) for k, m in cases}
-    assert {r["node"]: r["component"] for r in catalog.QUERIES["gr4_shared_company_cases_whole"](spark, d).collect()} == want
+    assert {r["node"]: r["component"] for r in catalog.QUERIES["gr4_shared_company_cases"](spark, d).collect()} == want
 
 
 def test_all_customers_split(spark, folder):
@@ -67,6 +67,21 @@ def test_all_customers_split(spark, folder):
     assert set(got) == set(size) and sum(size[k] for k, on in got.items() if on) == len(keys) // 2
 
 
+def test_greedy_pick_over_all_rows(spark, folder):
+    rng = random.Random(3)
+    rows = [(k, rng.choice("AB"), float(rng.randrange(60)), k % 6 if k > 40 else 0) for k in range(1, 500)]
+    d = folder(customer=(rows, "c_custkey long, c_mktsegment string, c_acctbal double, c_nationkey int"))
+    used, want = set(), []
+    for g in "AB":
+        taken = 0
+        for k, _, _, n in sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0])):
+            if taken < 3 and n not in used:
+                used.add(n)
+                taken += 1
+                want.append((g, k, n))
+    assert [tuple(r) for r in catalog.QUERIES["top7_greedy_pick"](spark, d).collect()] == want
+
+
 def test_all_suppliers_cover(spark, folder):
     rows = [(k, (k * k) % 97 + j) for k in range(1, 40) for j in range(k % 7)]
     d = folder(lineitem=(rows, "l_suppkey long, l_partkey long"))
@@ -120,7 +135,7 @@ def test_near_duplicates_of_every_length(spark, folder):
     texts = near_texts()
     want = near_by_hand(texts, lambda a, b: True)
     assert (1, 2) in want and (4, 5) in want and (6, 7) not in want and len(texts[1]) > 1500
-    got = catalog.QUERIES["join21_near_duplicates_whole"](spark, near_folder(folder, texts)).collect()
+    got = catalog.QUERIES["join21_near_duplicates"](spark, near_folder(folder, texts)).collect()
     assert {(r["a"], r["b"]): r["jaccard"] for r in got} == want
 
 
@@ -128,6 +143,5 @@ def test_blocked_pairs_are_verified(spark, folder):
     texts = near_texts()
     want = near_by_hand(texts, lambda a, b: texts[a][:20] == texts[b][:20])
     d = near_folder(folder, texts)
-    blocked = {(r["a"], r["b"]) for r in catalog.QUERIES["join22_blocked_prefix"](spark, d).collect()}
-    got = catalog.QUERIES["join22_blocked_prefix_verified"](spark, d).collect()
-    assert (1, 3) in blocked and (1, 3) not in want and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+    got = catalog.QUERIES["join22_blocked_prefix"](spark, d).collect()
+    assert texts[1][:20] == texts[3][:20] and (1, 3) not in want and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
