@@ -25,18 +25,19 @@ _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_CHUNK = 1 << 19
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Of eight bytes read at once, those that belong to a word of which so many are left.
+_OWN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Where the session names none (tests), one is made
-    for it, so that every later call finds the same."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session (tests) gets one
+    for all its later calls; elsewhere executors would write to their own disks, so it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/lodestrata-{uuid.uuid4().hex}"
@@ -48,7 +49,16 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark, at = df.sparkSession, scratch(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables from written() that nothing reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -66,6 +76,8 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A task that reads fewer bytes leaves the worker's memory as it is.
+LITTLE = 2 << 20
 #: What a Python worker keeps between tasks, by the operator that it belongs to.
 _KEPT: dict = {}
 
@@ -97,14 +109,24 @@ def trim() -> None:
 
 def lean(run, owner: str | None = None):
     """A batch function that first lets go of what other operators keep in the worker, and hands its
-    memory back when it ends: workers live on through later stages."""
+    memory back when it ends: workers live on through later stages. Tasks of few rows have none to
+    hand back."""
 
     def wrapped(batches):
         settle(owner)
+        held = 0
+
+        def counted():
+            nonlocal held
+            for b in batches:
+                held += b.nbytes
+                yield b
+
         try:
-            yield from run(batches)
+            yield from run(counted())
         finally:
-            trim()
+            if held > LITTLE:
+                trim()
 
     return wrapped
 
@@ -122,16 +144,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = max(n, _CHUNK)
-        for k, b in enumerate((_BASE, _BASE_INV)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS
-
-
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after another, and where each begins and ends; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -164,19 +176,27 @@ class Words:
         self.first = np.searchsorted(self.begin, self.at)
 
     def hashes(self, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of the byte ranges given (rising, none empty)."""
+        """A 64-bit hash of each word, or of the byte ranges given (rising, none empty): the mixed sum of
+        its eight-byte pieces, each mixed with its place. Different words meet by chance alone (2**-64)."""
         begin, end = (self.begin, self.end) if begin is None else (begin, end)
-        out, k = np.empty(len(begin), np.uint64), 0
-        while k < len(begin):
-            b = begin[k]
-            j = max(k + 1, int(np.searchsorted(end, b + _CHUNK, "right")))
-            part = self.data[b : end[k:j].max()]
-            up, down = _powers(len(part) + 1)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-            out[k:j] = (sums[end[k:j] - b] - sums[begin[k:j] - b]) * down[begin[k:j] - b]
-            k = j
-        return mixed(out ^ ((end - begin).astype(np.uint64) << np.uint64(40)))
+        if not len(begin):
+            return np.zeros(0, np.uint64)
+        size = end - begin
+        pieces = (size + 7) >> 3
+        start = np.cumsum(pieces) - pieces
+        at = np.arange(int(pieces.sum())) - np.repeat(start, pieces)  # a piece's place in its word
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.data),), "<u8", padded, strides=(1,))
+        piece = eight[np.repeat(begin, pieces) + 8 * at] & _OWN[np.minimum(np.repeat(size, pieces) - 8 * at, 8)]
+        sums = np.add.reduceat(mixed(piece + (at + 1).astype(np.uint64) * _STEP), start)
+        return mixed(sums ^ (size.astype(np.uint64) << np.uint64(40)))
+
+    def units(self, begin: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
+        """The byte ranges given (rising, disjoint, with nothing but white space between them)."""
+        size = end - begin
+        data = self.data if int(size.sum()) == len(self.data) else self.data[~_IS_SPACE[self.data]]
+        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def blocks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
