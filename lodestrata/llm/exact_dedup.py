@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, mixed, written
+from .common import SPACES, forget, mixed, written
 
 #: Distinct digests that one page holds, about; slots per key and level while a page is built.
 PAGE_KEYS, SPREAD = 50_000, 2.0
 
-_PAGE = "page int, n_slots long, levels binary, ranks binary, digests binary, ids binary, lengths binary"
+_PAGE = "page int, n_slots long, levels binary, ranks binary, digests binary, ids binary, lengths binary, counts binary"
+_GROUP = "digest binary, group_size long, keep_id long, in_history boolean"
+#: Stands for a null id: it loses to any other.
+_NO_ID = (1 << 63) - 1
 
 
 def _slots(keys: np.ndarray, level: int, width: int) -> np.ndarray:
@@ -76,6 +79,7 @@ def _pack_page(pdf: pd.DataFrame) -> pd.DataFrame:
             "digests": [digests[order].tobytes()],
             "ids": [pdf["keep_id"].to_numpy(np.int64)[order].tobytes()],
             "lengths": [pdf["keep_length"].to_numpy(np.int64)[order].tobytes()],
+            "counts": [pdf["n"].to_numpy(np.int64)[order].tobytes()],
         }
     )
 
@@ -89,18 +93,28 @@ def _unpack_levels(row) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _probe(new: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
-    out = new[["digest"]].copy()
-    out["slot"], out["old_id"], out["old_length"] = -1, 0, 0
-    if len(new) and len(pages):
+    """The groups of one page: a row for each slot, with what the new rows' digests that it holds add to
+    it, and a row for each new digest that no slot holds."""
+    digests = _as_rows(new["digest"])
+    counts, ids, lengths = (new[c].to_numpy(np.int64) for c in ("n", "keep_id", "keep_length"))
+    held, total, winner = digests[:0], counts[:0], ids[:0]
+    outside = np.ones(len(new), bool)
+    if len(pages):
         row = next(pages.itertuples())
-        digests, held = _as_rows(new["digest"]), np.frombuffer(row.digests, np.uint8).reshape(-1, 32)
+        held = np.frombuffer(row.digests, np.uint8).reshape(-1, 32)
+        total, winner, length = (np.frombuffer(x, np.int64).copy() for x in (row.counts, row.ids, row.lengths))
         slot = look_up(*_unpack_levels(row), digests)
-        member = slot >= 0
-        member[member] = (held[slot[member]] == digests[member]).all(axis=1)
-        out.loc[member, "slot"] = slot[member]
-        out.loc[member, "old_id"] = np.frombuffer(row.ids, np.int64)[slot[member]]
-        out.loc[member, "old_length"] = np.frombuffer(row.lengths, np.int64)[slot[member]]
-    return out
+        outside = slot < 0
+        met = np.flatnonzero(~outside)
+        outside[met] = (held[slot[met]] != digests[met]).any(axis=1)
+        member = ~outside
+        at = slot[member]  # digests are distinct, and so are their slots
+        total[at] += counts[member]
+        better = (lengths[member] > length[at]) | ((lengths[member] == length[at]) & (ids[member] < winner[at]))
+        winner[at[better]] = ids[member][better]
+    rows = [x.tobytes() for x in held] + [x.tobytes() for x in digests[outside]]
+    old = np.arange(len(rows)) < len(held)
+    return pd.DataFrame({"digest": rows, "group_size": np.concatenate([total, counts[outside]]), "keep_id": np.concatenate([winner, ids[outside]]), "in_history": old})
 
 
 def digested(text_col: str) -> Column:
@@ -109,15 +123,18 @@ def digested(text_col: str) -> Column:
 
 
 def _winners(keys: DataFrame) -> DataFrame:
-    best = F.max_by(F.struct("id", "length"), F.struct("length", -F.coalesce(F.col("id"), F.lit((1 << 63) - 1))))
-    return keys.groupBy("digest").agg(F.count("*").alias("n"), best.alias("best")).select("digest", "n", F.coalesce(F.col("best.id"), F.lit((1 << 63) - 1)).alias("keep_id"), F.col("best.length").alias("keep_length"))
+    best = F.max_by(F.struct("id", "length"), F.struct("length", -F.coalesce(F.col("id"), F.lit(_NO_ID))))
+    return keys.groupBy("digest").agg(F.count("*").alias("n"), best.alias("best")).select("digest", "n", F.coalesce(F.col("best.id"), F.lit(_NO_ID)).alias("keep_id"), F.col("best.length").alias("keep_length"))
+
+
+def _page(n_pages: int) -> Column:
+    return (F.conv(F.hex(F.substring("digest", 17, 4)), 16, 10).cast("long") % n_pages).cast("int")
 
 
 def build_index(winners: DataFrame, n_pages: int) -> DataFrame:
     """Pages of minimal perfect hashes over the distinct digests of `winners`; each page is a row whose
-    slots hold full digests and the winner's id and length."""
-    page = F.conv(F.hex(F.substring("digest", 17, 4)), 16, 10).cast("long") % n_pages
-    return winners.withColumn("page", page.cast("int")).select("page", "digest", "keep_id", "keep_length").groupBy("page").applyInPandas(_pack_page, _PAGE)
+    slots hold full digests, the winner's id and length, and the number of rows."""
+    return winners.withColumn("page", _page(n_pages)).select("page", "digest", "n", "keep_id", "keep_length").groupBy("page").applyInPandas(_pack_page, _PAGE)
 
 
 def exact_dedup(docs: DataFrame, historical: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,8 +143,9 @@ def exact_dedup(docs: DataFrame, historical: Column, id_col: str = "doc_id", tex
     Rows where `historical` holds (a condition on the columns of docs) come first: their distinct
     digests, with the best row of each, go into pages of minimal perfect hashes, written to the
     shared folder. The rest is summed by digest before any lookup, so thousands of copies are one
-    probe. A probe that finds a slot compares all 32 bytes: members join the historical group,
-    nonmembers are grouped separately. Of equal texts the row with the most code points, then the
+    probe. A probe that finds a slot compares all 32 bytes: a member adds to the slot's count and
+    contends with its winner, and is gone; nonmembers stay groups of their own. So a group's rows and
+    winner come from the slot, and no digest of the past is grouped with new ones. Of equal texts the row with the most code points, then the
     smallest id, stays, wherever it stood.
 
     Null texts count as empty. Null ids lose to any id. Of repeated rows with the winner's id and
@@ -141,21 +159,14 @@ def exact_dedup(docs: DataFrame, historical: Column, id_col: str = "doc_id", tex
     rows = keys.count()
     n_pages = max(1, math.ceil(rows / PAGE_KEYS))
     index = written(build_index(past, n_pages))
-    page = (F.conv(F.hex(F.substring("digest", 17, 4)), 16, 10).cast("long") % n_pages).cast("int")
-    probes = new.select("digest", page.alias("page"))
-    hits = probes.groupBy("page").cogroup(index.groupBy("page")).applyInPandas(_probe, "digest binary, slot long, old_id long, old_length long")
-    better = (F.col("old_length") > F.col("keep_length")) | ((F.col("old_length") == F.col("keep_length")) & (F.col("old_id") < F.col("keep_id")))
-    joined = new.join(hits, "digest")
-    members = joined.where("slot >= 0").select("digest", "n", F.when(better, F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.when(better, F.col("old_length")).otherwise(F.col("keep_length")).alias("keep_length"), F.lit(True).alias("old"))
-    outside = joined.where("slot < 0").select("digest", "n", "keep_id", "keep_length", F.lit(False).alias("old"))
-    history = past.select("digest", "n", "keep_id", "keep_length", F.lit(True).alias("old"))
-    best = F.max_by("keep_id", F.struct("keep_length", -F.col("keep_id")))
-    groups = written(history.unionByName(members).unionByName(outside).groupBy("digest").agg(F.sum("n").alias("group_size"), best.alias("keep_id"), F.max("old").alias("in_history")))
+    probes = new.withColumn("page", _page(n_pages))
+    groups = written(probes.groupBy("page").cogroup(index.groupBy("page")).applyInPandas(_probe, _GROUP))
+    forget(index)
     least = max(1000, rows // 1000)
     hot = groups.where(F.col("group_size") >= least)
     cold = keys.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups, "digest")
     both = keys.join(F.broadcast(hot), "digest").unionByName(cold)
-    keep_id = F.when(F.col("keep_id") == F.lit((1 << 63) - 1), F.col("id")).otherwise(F.col("keep_id"))
+    keep_id = F.when(F.col("keep_id") == F.lit(_NO_ID), F.col("id")).otherwise(F.col("keep_id"))
     return both.select("id", "length", "digest", keep_id.alias("keep_id"), "group_size", F.col("id").eqNullSafe(keep_id).alias("kept"), "in_history")
 
 
