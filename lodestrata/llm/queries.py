@@ -52,8 +52,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """taken counts the copies that have a place in the training order; position is the first one's."""
+    placed = mixing.positions(mixing.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    taken = F.col("size") * F.size("positions")
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), F.try_element_at("positions", F.lit(1)).alias("position"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,22 +127,25 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5""",
         "op5_mixing": r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(coalesce(doc_id::varchar, '')) as h from documents),
+         md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as h from documents),
 src as (select source, sum(size)::bigint as source_size from sized group by source),
 turns as (select *, row_number() over (order by source nulls last) - 1 as turn from src),
-w as (select *, [5.0::double, 2.0::double, 1.0::double][(turn % 3 + 1)::int] as weight, source_size * 2.0::double as cap from turns),
+w as (select *, [5.0::double, 2.0::double, 1.0::double][(turn % 3 + 1)::int] as weight,
+             [0.5::double, 0.0::double, -0.5::double][(turn % 3 + 1)::int] as tilt, source_size * 2.0::double as cap from turns),
 lv as (select *, (sum(source_size) over () * 1.5::double
           - coalesce(sum(cap) over (order by cap / weight, turn rows between unbounded preceding and 1 preceding), 0.0))
           / sum(weight) over (order by cap / weight, turn rows between current row and unbounded following) as level from w),
 met as (select level as lvl from lv where level <= cap / weight order by cap / weight, turn limit 1),
-goal as (select source, source_size, least(cap, coalesce((select lvl from met) * weight, cap)) as target from lv),
-cells as (select source, substr(h, 1, 3) as cell, sum(size)::bigint as cell_size from sized group by 1, 2),
-offs as (select *, coalesce(sum(cell_size) over (partition by source order by cell rows between unbounded preceding and 1 preceding), 0)::bigint as off from cells),
-placed as (select s.*, o.off + ('0x' || substr(s.h, 4, 7))::bigint / 268435456.0::double * o.cell_size as middle
-           from sized s join offs o on s.source is not distinct from o.source and substr(s.h, 1, 3) = o.cell)
-select p.doc_id, p.size, g.source_size, g.target,
-       (p.size * case when p.size > 0 then least(greatest(floor((g.target - p.middle) / g.source_size) + 1, 0), 2) else 0 end)::bigint as taken
-from placed p join goal g on p.source is not distinct from g.source""",
+goal as (select source, source_size, tilt, least(cap, coalesce((select lvl from met) * weight, cap)) as target from lv),
+placed as (select *, coalesce(sum(size) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0)::double
+                     + size::double / 2::double as middle from sized),
+counted as (select p.doc_id, p.size, g.source_size, g.target, g.tilt, g.tilt + 1::double as b, least(1::double, p.middle / g.target) as share,
+                   case when p.size > 0 then least(greatest(floor((g.target - p.middle) / g.source_size) + 1, 0), 2) else 0 end as copies
+            from placed p join goal g on p.source is not distinct from g.source)
+select doc_id, size, source_size, target, (size * copies)::bigint as taken,
+       case when copies > 0 then case when tilt = 0 then share
+            else (b - sqrt(greatest(0::double, b * b - 4::double * tilt * share))) / (2::double * tilt) end end as position
+from counted""",
         "op6_exact_dedup": r"""
 with k as (select doc_id, length(coalesce(text, '')) as n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents)
