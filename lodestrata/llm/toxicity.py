@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, crc_bucket, lean, mixed, small_batches, trim
+from .common import Words, blocks, crc_bucket, forget, lean, mixed, small_batches, trim, written
 
 #: Hashed features; most positives and most unlabelled texts that the fit reads (bounded samples, by
 #: md5 of the id); predicted is score >= THRESHOLD.
@@ -47,14 +48,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (both // np.uint64(FEATURES)).astype(np.int64), (both % np.uint64(FEATURES)).astype(np.int64)
 
 
-def fit_nnpu(positive: list[tuple[np.ndarray, int]], unlabelled: list[tuple[np.ndarray, int]], prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a linear classifier on binary features (a text: those that may have a
-    weight, and the number of all), fitted with the non-negative
+def fit_nnpu(positive: list[tuple[np.ndarray, int]], unlabelled: list[tuple[np.ndarray, int]], prior: float, width: int, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a linear classifier on `width` binary features (a text: those that may
+    have a weight, and the number of all), fitted with the non-negative
     risk estimator: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), logistic loss. A step whose
     negative part falls below zero goes up that part alone, as it has begun to overfit. Adagrad."""
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(FEATURES), 0.0
-    g2, b2 = np.full(FEATURES, 1e-4), 1e-4
+    w, b = np.zeros(width), 0.0
+    g2, b2 = np.full(width, 1e-4), 1e-4
     if not positive or not unlabelled:
         return w, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     b = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
@@ -78,7 +79,7 @@ def fit_nnpu(positive: list[tuple[np.ndarray, int]], unlabelled: list[tuple[np.n
             gp = -prior * sigmoid(-pz) / len(pp) + gp_neg
         else:
             gu, gp = -gu, -gp_neg
-        g = np.bincount(pf, (gp * ps)[po], FEATURES) + np.bincount(uf, (gu * us)[uo], FEATURES) + DECAY * w
+        g = np.bincount(pf, (gp * ps)[po], width) + np.bincount(uf, (gu * us)[uo], width) + DECAY * w
         gb = gp.sum() + gu.sum()
         g2 += g * g
         b2 += gb * gb
@@ -91,31 +92,24 @@ def margins(model: tuple[np.ndarray, float], docs: list[tuple[np.ndarray, int]])
     return np.array([model[0][d].sum() / max(1, n) ** 0.5 + model[1] for d, n in docs])
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
-    """Which features may have a weight. Unlabelled texts hold positives by the prior; what they hold
-    besides is the clean texts' share, so the lift that is asked does not depend on the prior."""
+def telling(p: np.ndarray, u: np.ndarray, n_positive: int, n_unlabelled: int, prior: float) -> np.ndarray:
+    """Which features may have a weight, from the number of positive and of unlabelled texts that have
+    each. Unlabelled texts hold positives by the prior; what they hold besides is the clean texts'
+    share, so the lift that is asked does not depend on the prior."""
+    in_p, least = (p + 0.5) / (n_positive + 1), 0.5 / (n_unlabelled + 1)
+    in_clean = np.maximum((u + 0.5) / (n_unlabelled + 1) - prior * in_p, least) / (1 - prior)
+    return (p >= max(LEAST_COUNT, LEAST_SHARE * n_positive)) & (in_p > LIFT * in_clean)
 
-    def count(docs: list[np.ndarray]) -> np.ndarray:
-        return sum((np.bincount(np.concatenate(docs[k : k + 1000]), minlength=FEATURES) for k in range(0, len(docs), 1000)), np.zeros(FEATURES, np.int64))
 
-    p, u = count(positive), count(unlabelled)
-    in_p, least = (p + 0.5) / (len(positive) + 1), 0.5 / (len(unlabelled) + 1)
-    in_clean = np.maximum((u + 0.5) / (len(unlabelled) + 1) - prior * in_p, least) / (1 - prior)
-    return (p >= max(LEAST_COUNT, LEAST_SHARE * len(positive))) & (in_p > LIFT * in_clean)
-
-
-def fit_calibrated(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
+def fit_calibrated(positive: list[tuple[np.ndarray, int]], unlabelled: list[tuple[np.ndarray, int]], prior: float, width: int) -> tuple[np.ndarray, float]:
     """fit_nnpu, moved and stretched so that a score of THRESHOLD is the margin at which
     recall**2 / P(predicted positive) is highest. That needs no negatives: both factors are measured
     on every fourth text, scored by a model that has not seen it."""
     turn = lambda docs, keep: [d for i, d in enumerate(docs) if (i % 4 == 3) != keep]
-    if positive and unlabelled:
-        on = telling(positive, unlabelled, prior)
-        positive, unlabelled = ([(d[on[d]], len(d)) for d in docs] for docs in (positive, unlabelled))
-    model = fit_nnpu(positive, unlabelled, prior)
+    model = fit_nnpu(positive, unlabelled, prior, width)
     if len(positive) < 8 or len(unlabelled) < 8:
         return model
-    trial = fit_nnpu(turn(positive, True), turn(unlabelled, True), prior)
+    trial = fit_nnpu(turn(positive, True), turn(unlabelled, True), prior, width)
     p, u = np.sort(margins(trial, turn(positive, False))), np.sort(margins(trial, turn(unlabelled, False)))
     both = np.sort(np.concatenate([p, u]))
     cuts = (both[1:] + both[:-1]) / 2
@@ -128,20 +122,13 @@ def fit_calibrated(positive: list[np.ndarray], unlabelled: list[np.ndarray], pri
     return model[0] * stretch, (model[1] - cut) * stretch + float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
-def _feature_lists(texts: list[str | None]) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for k in range(0, len(texts), 256):
-        part = texts[k : k + 256]
-        of, key = features(pa.array(part, pa.string()))
-        out.extend(np.split(key, np.searchsorted(of, np.arange(1, len(part)))))
-    return out
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """A model from confirmed positives and unlabelled texts of the training part, which is where
     crc32(id) mod 4 is not 2. Labels of 0 serve only for the class prior: the positive share of
     labelled rows. Reads MOST_POSITIVE positives and MOST_UNLABELLED other texts at most, the first by
-    md5 of the id; texts are cut to nothing shorter than whole."""
+    md5 of the id, each whole; of an id that has several rows, one. Executors count in how many of
+    these texts each feature is; the driver gets those counts (FEATURES at most) and then, of each
+    text, the features that may have a weight, numbered densely."""
     part = crc_bucket("id", 4) != 2
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(part & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
     n, n_pos = marks.agg(F.count("*"), F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0))).first()
@@ -150,10 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen_pos = marks.where("y > 0").orderBy(order).limit(MOST_POSITIVE).select("id", F.lit(True).alias("pos"))
     ids = docs.select(F.col(id_col).alias("id")).where(part).join(marks.where("y > 0"), "id", "left_anti")
     # Unlabelled texts stand for the whole mixture, so the positives' share is drawn from all rows.
-    drawn = ids.orderBy(order).limit(MOST_UNLABELLED).select("id", F.lit(False).alias("pos"))
-    chosen = F.broadcast(chosen_pos.unionByName(drawn).distinct())
+    drawn = ids.distinct().orderBy(order).limit(MOST_UNLABELLED).select("id", F.lit(False).alias("pos"))
+    chosen = F.broadcast(chosen_pos.unionByName(drawn))
     small_batches(docs.sparkSession)
-    schema = "id long, pos boolean, keys array<int>"
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,15 +148,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 cuts = np.searchsorted(of, np.arange(b.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("pos"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.astype(np.int32)))], ["id", "pos", "keys"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "pos", "text").mapInArrow(lean(to_features), schema)
-    positive, unlabelled = [], []
-    for r in picked.orderBy("id").toLocalIterator():
-        (positive if r["pos"] else unlabelled).append(np.asarray(r["keys"], np.int32))
-    mixture = unlabelled + positive[: int(round(len(unlabelled) * prior / (1 - prior)))] if positive else unlabelled
-    model = fit_calibrated(positive, mixture, prior)
-    del positive, unlabelled, mixture
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "pos", "text").mapInArrow(lean(to_features), "id long, pos boolean, keys array<int>")
+    texts = written(picked.groupBy("id", "pos").agg(F.min("keys").alias("keys")))
+    sizes = {r["pos"]: r["n"] for r in texts.groupBy("pos").agg(F.count("*").alias("n")).collect()}
+    n_positive, n_drawn = sizes.get(True, 0), sizes.get(False, 0)
+    # The mixture gets its share of positives, the first by id.
+    share = min(n_positive, int(round(n_drawn * prior / (1 - prior))))
+    last = texts.where("pos").select("id").orderBy("id").limit(share).agg(F.max("id")).first()[0] if share else None
+    mixed_in = ~F.col("pos") | (F.col("id") <= F.lit(last).cast("long") if share else F.lit(False))
+    told = texts.select("pos", mixed_in.alias("mix"), F.explode("keys").alias("key")).groupBy("key").agg(F.sum(F.col("pos").cast("int")).alias("p"), F.sum(F.col("mix").cast("int")).alias("u")).toArrow()
+    p, u = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    p[told.column("key").to_numpy()], u[told.column("key").to_numpy()] = told.column("p").to_numpy(), told.column("u").to_numpy()
+    on = np.flatnonzero(telling(p, u, n_positive, n_drawn + share, prior)) if n_positive else np.zeros(0, np.int64)
+    number = np.full(FEATURES, -1, np.int32)
+    number[on] = np.arange(len(on))
+    held = docs.sparkSession.sparkContext.broadcast(number)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.list_value_length(b.column("keys")).to_numpy()
+            mapped = held.value[b.column("keys").flatten().to_numpy()]
+            told = mapped >= 0
+            ends = np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size)[told], minlength=len(size)))
+            kept = np.split(mapped[told], ends[:-1]) if len(size) else []
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("pos"), b.column("mix"), pa.array(size.astype(np.int32)), pa.array([k.tobytes() for k in kept], pa.binary())], ["id", "pos", "mix", "n", "keys"])
+
+    small = texts.select("id", "pos", mixed_in.alias("mix"), "keys").mapInArrow(lean(narrowed), "id long, pos boolean, mix boolean, n int, keys binary").toArrow().sort_by("id").to_pylist()
+    forget(texts)
+    rows = [(r["pos"], r["mix"], (np.frombuffer(r["keys"], np.int32), r["n"])) for r in small]
+    mixture = [d for pos, _, d in rows if not pos] + [d for pos, mix, d in rows if pos and mix]
+    w, b = fit_calibrated([d for pos, _, d in rows if pos], mixture, prior, max(1, len(on)))
+    weights = np.zeros(FEATURES)
+    weights[on] = w[: len(on)]
+    del small, rows, mixture
     trim()  # the driver lives on
-    return model
+    return weights, b
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
