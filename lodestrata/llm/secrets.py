@@ -87,6 +87,17 @@ def _without(text: str, begin: int, end: int, spans: list[tuple[int, int]]) -> b
     return " ".join([*out, text[at:end]]).encode()
 
 
+def _joined(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e, _ in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates in a sensitive context that the compressor cannot derive from what stands around
     them. What a base span holds is reported already. Other strings of a candidate's form are left
@@ -97,11 +108,15 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
         return []
     runs = list(_CANDIDATE.finditer(text))
     shut = [m.span() for m in runs]  # what candidates may not be derived from
+    held = _joined(taken)
     found, k, gone = [], 0, 0
     for at, m in enumerate(runs):
         while k + 1 < len(words) and words[k + 1] <= m.start():
             k += 1
-        if not 0 <= m.start() - words[k] <= NEAR or any(s < m.end() and m.start() < e for s, e, _ in taken):
+        if not 0 <= m.start() - words[k] <= NEAR:
+            continue
+        i = bisect.bisect_right(held, m.start(), key=lambda s: s[1])  # the first that ends behind its start
+        if i < len(held) and held[i][0] < m.end():
             continue
         raw = m[0].encode()
         size = marginal_bytes(_without(text, max(0, m.start() - AROUND), m.start(), shut), raw, _without(text, m.end(), min(len(text), m.end() + AROUND), shut))
@@ -117,7 +132,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exclusive, ordered by start and then by kind as listed (assign, access, hex, novel).
 
     Whole texts are read in blocks; one linear-time match for each text decides whether the patterns
-    run over it at all. Null and empty texts have no spans, repeated rows each give a row, null ids
+    run over it at all; in a text, candidates and spans are met in order, so that very many of them cost
+    no more than their number. Null and empty texts have no spans, repeated rows each give a row, null ids
     pass. Nothing is shuffled, so hot sources and copies do no harm."""
     small_batches(docs.sparkSession)
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]

@@ -81,7 +81,8 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.002
     end, and slots come from ranks in cells of key ranges plus the counts of earlier cells, so no
     task holds a whole shard.
 
-    Null ids sort first. Repeated rows each get a slot. With fewer rows than shards some shards stay
+    Null ids sort first. Repeated rows each get a slot; rows equal in text and id (null ids too) have
+    no order among themselves, so they stay in one shard and one cell, however many they are. With fewer rows than shards some shards stay
     empty. An empty table gives an empty result. Other columns of docs are ignored, whatever their
     names. Returns id, size, text_crc32 (of a null text: 0), key_hash, shard and slot.
     """
