@@ -93,7 +93,6 @@ def test_token_files(spark, sf_dir, documents):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     got = queries.op2_token_files(spark, sf_dir).orderBy("doc_id").collect()
     at = 0
     for r, (i, t) in zip(got, sorted(zip(documents.doc_id, documents.text)), strict=True):
@@ -168,7 +167,7 @@ def test_mixing(spark, sf_dir, documents):
         free -= over
     for s, part in by:
         assert abs(part.target.iloc[0] - target[s]) < 1e-6 * max(1, target[s])
-        assert abs(part.taken.sum() - target[s]) <= part["size"].max()
+        assert abs(part.taken.sum() - target[s]) <= part["size"].max() / 2 + 1e-6
     assert (got.taken <= 2 * got["size"]).all()
 
 
@@ -178,13 +177,29 @@ def test_mixing_awkward(awkward, nothing):
     mixed = mixing.mix(awkward)
     assert mixed.columns == awkward.columns
     assert mixed.count() == placed.agg(F.sum("copies")).first()[0]
-    at = [r["position"] for r in mixing.positions(placed).collect()]
-    assert all(0 <= x <= 1 for x in at)
+    at = [x for r in mixing.positions(placed).collect() for x in r["positions"]]
+    assert len(at) == mixed.count() and all(0 <= x <= 1 for x in at)
+
+
+@pytest.mark.parametrize("doc_id", (None, 7))
+def test_mixing_rows_of_one_id(spark, doc_id):
+    rows = [(doc_id, " ".join(["w"] * (1 + i % 7) + [str(i)]), f"s{i % 3}") for i in range(2000)]
+    got = mixing.positions(mixing.curriculum(spark.createDataFrame(rows, "doc_id long, text string, source string"))).toPandas()
+    for _, part in got.groupby("source"):
+        taken = (part["size"] * part.positions.map(len)).sum()
+        assert abs(taken - part.target.iloc[0]) <= 8 and taken > 0
+
+
+def test_the_mix_is_sorted_by_position(spark):
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
+    placed = mixing.positions(mixing.curriculum(rows)).select("id", F.explode("positions").alias("at")).collect()
+    mixed = [r["doc_id"] for r in mixing.mix(rows, partitions=3).collect()]
+    assert mixed == [r["id"] for r in sorted(placed, key=lambda r: (r["at"], r["id"]))]
 
 
 def test_curriculum_follows_the_schedule(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
-    placed = mixing.positions(mixing.curriculum(rows)).toPandas()
+    placed = mixing.positions(mixing.curriculum(rows)).withColumn("position", F.explode("positions")).toPandas()
     early = placed[placed.position < 0.5].groupby("source").size() / placed.groupby("source").size()
     assert early["s0"] == pytest.approx(0.5 + 0.5 / 4, abs=0.02) and early["s1"] == pytest.approx(0.5, abs=0.02) and early["s2"] == pytest.approx(0.5 - 0.5 / 4, abs=0.02)
 
@@ -206,6 +221,20 @@ def test_history_changes_no_result(awkward):
     assert got[0] == got[1] == got[2]
 
 
+def test_lookups_decide_what_joins_history(spark, monkeypatch):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 60).cast("string")).alias("text"))
+    got = exact_dedup.exact_dedup(rows, F.col("doc_id") < 100)
+    assert got.where("kept").count() == 60 and got.where("in_history").count() == 200 and got.count() == 200
+    new = pd.DataFrame({"page": 0, "digest": [bytes([k]) * 32 for k in (1, 2)], "n": [1, 1], "keep_id": [9, 8], "keep_length": [1, 1]})
+    page = exact_dedup._pack_page(pd.DataFrame({"page": 0, "digest": [bytes([k]) * 32 for k in (2, 3)], "n": [5, 6], "keep_id": [4, 5], "keep_length": [1, 1]}))
+    size = lambda: sorted(zip(g.digest.str[0], g.group_size, g.keep_id, g.in_history))
+    g = exact_dedup._probe(new, page)
+    assert size() == [(1, 1, 9, False), (2, 6, 4, True), (3, 6, 5, True)]
+    monkeypatch.setattr(exact_dedup, "look_up", lambda levels, ranks, digests: np.full(len(digests), -1, np.int64))
+    g = exact_dedup._probe(new, page)
+    assert size() == [(1, 1, 9, False), (2, 1, 8, False), (2, 5, 4, True), (3, 6, 5, True)]  # a repeat would stay
+
+
 def test_byte_bpe(spark, sf_dir, documents):
     import tiktoken
 
@@ -313,13 +342,13 @@ def test_near_dedup_large_group(spark):
 
 
 def test_near_dedup_of_texts_about_the_size_of_a_sketch(spark):
-    """Texts of 120 to 128 shingles within ones of 150 to 170: the longer one's sketch holds a part of the shared ones."""
+    """Texts of 60 to 128 shingles within ones a third longer: the longer one's sketch holds a part of the shared ones."""
     import random
 
     rng, rows = random.Random(3), []
     for k in range(400):
-        n = rng.randrange(120, 129)
-        m = rng.randrange(150, min(170, n * 100 // 75) + 1)
+        n = rng.randrange(60, 129)
+        m = rng.randrange(n * 120 // 100, n * 100 // 75 + 1)
         w = [f"t{k}x{rng.randrange(10**9)}" for _ in range(m + 4)]
         rows += [(2 * k, " ".join(w[: n + 4])), (2 * k + 1, " ".join(w))]
     want = components_by_hand(rows)
@@ -327,10 +356,23 @@ def test_near_dedup_of_texts_about_the_size_of_a_sketch(spark):
     check_components(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want)
 
 
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    """A chain of edits in which no pivot reaches all, with few members to a block, and hot values."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "FULL_PAIRS", (0, 1000))
+    monkeypatch.setattr(near_dup, "HOT", 40)
+    rows = [(i, " ".join([f"t{k}" for k in range(60)] + [f"u{k}" for k in range(i, i + 40)])) for i in range(0, 300, 3)]
+    rows += [(1000 + i, " ".join([f"t{k}" for k in range(60)] + [f"x{i}y{k}" for k in range(5 + i % 40)])) for i in range(90)]
+    want = components_by_hand(rows)
+    assert 5 < len({c for _, c in want.values()}) < 150
+    check_components(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want)
+
+
 def test_near_dedup_awkward(awkward, nothing):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(awkward).collect()}
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[5] == (2, 4) and got[7] == (1, 7) == got[8][:1] + (7,)
-    assert got[6] == (2, 6) and got[10][1] == 9
+    assert got[6] == (2, 6) and got[10][1] == 9 and got[None] == (1, None)
+    assert near_dup.near_duplicates(awkward).count() == len(AWKWARD)
     assert near_dup.near_duplicates(nothing).count() == 0
     assert near_dup.drop_near_duplicates(awkward).columns == awkward.columns
 
@@ -364,12 +406,29 @@ def test_mined_rules_block(spark):
     assert got[1000] == "block" and got[1001] == "allow"
 
 
+def test_chance_makes_no_rule(spark):
+    import random
+
+    rng = random.Random(9)
+    for n in (58, 700):
+        rows = [([f"path={rng.randrange(12)}", f"key={rng.randrange(12)}", f"host1={rng.randrange(12)}"], rng.random() < 0.45) for _ in range(n)]
+        assert url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).count() == 0
+
+
+def test_urls_of_very_many_keys(spark):
+    query = "&".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}=1" for i in range(200))
+    rows = [(i, f"https://{'spam' if i % 4 == 0 else 'good'}.info/x/{i}?{query}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = url_filter.judge(spark.createDataFrame([*rows, (1000, "https://a.info/" + "p/" * 50_000)], "page_id long, url string"), labels).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if i % 4 == 0 else "allow" for i in range(400)} | {1000: "allow"}
+
+
 def test_mined_rules_by_hand(spark):
     import itertools
 
     rows = [(i, ["a", "b"] if i % 3 else ["a", "c"], i % 3 == 0 and i % 2 == 0) for i in range(60)] + [(i, ["b", "d"], True) for i in range(60, 75)]
     df = spark.createDataFrame(rows, "i int, tokens array<string>, bad boolean").select("tokens", "bad")
-    got = {tuple(r["antecedent"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in url_filter.mine(df, 0.05, 0.5).collect()}
+    got = {tuple(r["antecedent"]): (round(r["confidence"], 9), round(r["support"], 9)) for r in url_filter.mine(df, 0.05, 0.5, 1, 0.0).collect()}
     n, found = len(rows), {}
     for k in (1, 2):
         for c in itertools.combinations("abcd", k):
