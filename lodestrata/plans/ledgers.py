@@ -12,6 +12,7 @@ from lodestrata.functions import time as D
 from lodestrata.operators import graph as G
 from lodestrata.operators import policy as O
 from lodestrata.operators import ranges as J
+from lodestrata.operators import records as E
 from lodestrata.operators import rows as R
 from lodestrata.operators import scoring as S
 from lodestrata.operators import state as Z
@@ -94,10 +95,16 @@ def snk14_run_log(spark, d):
     return table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("run"), "event_type").agg(F.count("*").alias("items"), F.count_if(F.col("value") > 100).alias("kept"))
 
 
-@query("""select c_custkey, concat_ws(' | ', c_name, c_mktsegment, round(c_acctbal, 0)::bigint::varchar) as title, '{"id":' || c_custkey || ',"segment":"' || c_mktsegment || '"}' as payload from customer""")
+@query("""select substr(sha256(lower(replace(c_name || ' ' || c_mktsegment, ' ', ''))), 1, 24) as company_id, c_name || ' ' || c_mktsegment as company, 'x' as direction, c_nationkey as score, 'CTO、COO' as roles,
+  '[{"项":"a","分":' || c_nationkey || ',"原因":"' || c_mktsegment || '"}]' as components, 'https://a.example/' || c_custkey || chr(10) || 'https://b.example/' as links, '{"seg":"' || c_mktsegment || '"}' as research, '待研究' as status from customer""")
 def snk16_lead_projection(spark, d):
-    title = F.concat_ws(" | ", "c_name", "c_mktsegment", F.round("c_acctbal", 0).cast("long").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", title.alias("title"), F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))).alias("payload"))
+    some = lambda *x: F.array(*[F.lit(v) for v in x])
+    company = F.concat("c_name", F.lit(" "), "c_mktsegment")
+    parts = F.array(F.struct(F.lit("a").alias("label"), F.col("c_nationkey").alias("points"), F.col("c_mktsegment").alias("reason")))
+    links = F.array(F.concat(F.lit("https://a.example/"), F.col("c_custkey").cast("string")), F.lit("https://b.example/"))
+    plain = {c: F.lit(c) for c in ("mode", "grade", "timing", "thesis")}
+    leads = table(spark, d, "customer").select(company.alias("company"), F.lit("x").alias("direction"), F.col("c_nationkey").alias("score"), some("CTO", "COO").alias("roles"), parts.alias("components"), links.alias("links"), F.create_map(F.lit("seg"), "c_mktsegment").alias("research"), *[v.alias(k) for k, v in plain.items()])
+    return E.board_rows(leads).drop("mode", "grade", "timing", "thesis")
 
 
 @query("select event_id, list_filter(['kind', 'value', 'props'], lambda x: (x = 'kind' and event_type = 'error') or (x = 'value' and value > 200) or (x = 'props' and length(props) < 9))::varchar as violations from events where event_type = 'error' or value > 200 or length(props) < 9")
@@ -113,11 +120,20 @@ def snk24_relationship_edges(spark, d):
     return works.unionByName(n.select(F.lit("nation").alias("a_kind"), F.col("n_nationkey").cast("long").alias("a"), F.lit("in").alias("relation"), F.col("n_regionkey").cast("long").alias("b")))
 
 
-@query("""with l as (select o_custkey, list_sort(list_distinct(list(o_orderstatus))) as roles from orders where o_orderstatus <> 'P' group by 1) select c_custkey, unnest(coalesce(roles, [c_mktsegment])) as role from customer left join l on o_custkey = c_custkey""")
+@query("""with l as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as i, o_orderstatus as company, o_orderpriority as role from orders),
+r as (select l.*, c_mktsegment as title from l join customer on c_custkey = o_custkey where company <> 'P'),
+x as (select o_custkey, company, i, o_orderkey, unnest(case when i % 3 = 0 then [title] when i % 3 = 1 then [role] else [role, 'second'] end) as role from r)
+select o_custkey as draft, company, role, arg_max(o_orderkey, i)::varchar as urls from x group by 1, 2, 3""")
 def snk26_opportunity_links(spark, d):
-    roles = table(spark, d, "orders").where("o_orderstatus != 'P'").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("roles"))
-    c = table(spark, d, "customer")
-    return c.join(roles, c["c_custkey"] == roles["o_custkey"], "left").select("c_custkey", F.explode(F.coalesce("roles", F.array("c_mktsegment"))).alias("role"))
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("title"))
+    drafts = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("rows")).join(c, "o_custkey")
+
+    def lead(x, i):
+        roles = F.when((i + 1) % 3 == 0, F.array(F.lit(" "))).when((i + 1) % 3 == 1, F.array(x["o_orderpriority"])).otherwise(F.array(x["o_orderpriority"], F.lit(" second ")))
+        return F.struct(F.when(x["o_orderstatus"] != "P", F.concat(F.lit(" "), x["o_orderstatus"])).otherwise("").alias("company"), roles.alias("roles"), F.array(x["o_orderkey"].cast("string")).alias("urls"))
+
+    links = E.opportunity_links(drafts.select(F.col("o_custkey").alias("draft"), "title", F.transform("rows", lead).alias("leads")), "draft", "title", "leads")
+    return links.select("draft", "company", "role", F.array_join("urls", ",").alias("urls"))
 
 
 @query("select l_orderkey || '/' || l_linenumber || '/' || l_partkey as new_key, l_quantity from lineitem")
@@ -301,9 +317,15 @@ def str25_role_city(spark, d):
     return table(spark, d, "customer").select("c_custkey", city.alias("c")).select("c_custkey", "c.city", (F.col("c.basis") != "公告").alias("defaulted"))
 
 
-@query("select c_custkey, concat_ws('; ', case when c_acctbal > 8000 then 'rich' end, case when c_nationkey < 5 then 'near' end, lower(c_mktsegment)) as thesis from customer")
+@query("""select c_custkey, ['foreign', 'listed', 'startup_private'][(c_custkey % 3 + 1)::int] as archetype,
+  c_name || '在机器人方向出现多源上游信号：' || ['新增资本可支持组织扩张；量产/产能建设要求建立制造与交付管理体系；订单和客户交付会放大供应链、质量与项目管理压力', '海外扩张需要区域业务与交付负责人', '多个上游事件正在形成新的组织责任'][(c_custkey % 3 + 1)::int]
+  || '。因此未来 30–90 天最可能新增或升级的领导岗位为：研发总监、产品总监。' as thesis from customer""")
 def str26_thesis_text(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.concat_ws("; ", F.when(F.col("c_acctbal") > 8000, "rich"), F.when(F.col("c_nationkey") < 5, "near"), F.lower("c_mktsegment")).alias("thesis"))
+    k = F.col("c_custkey") % 3
+    some = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    context = F.when(k == 0, "A GLOBAL group, 科创板").when(k == 1, "Annual Report 2023").otherwise("a small team")
+    kinds = F.when(k == 0, some("partnership", "major_order", "factory_or_capacity", "funding")).when(k == 1, some("global_expansion", "other")).otherwise(some())
+    return table(spark, d, "customer").select("c_custkey", E.archetype(context).alias("archetype"), E.thesis(F.col("c_name"), F.lit("机器人"), kinds, some("研发总监", "产品总监")).alias("thesis"))
 
 
 @query(r"select doc_id, regexp_extract(text, '\b([A-Z][a-z]+) (?:de|of|der) ([a-z]+)', 1) as who, regexp_extract(text, '\b([A-Z][a-z]+) (?:de|of|der) ([a-z]+)', 2) as via from documents where regexp_matches(text, '\b([A-Z][a-z]+) (?:de|of|der) ([a-z]+)')")
@@ -401,9 +423,17 @@ def ext12_claim_ledger(spark, d):
     return claims.withColumn("seeded", F.lit(False)).unionByName(seeds.withColumn("seeded", F.lit(True)))
 
 
-@query("select user_id, event_id, round(value / 100, 4) as confidence, 'A' as grade from events where event_type in ('purchase', 'signup') and value > 60")
+@query("""with e as (select event_id as n, event_type as source, 'https://News.example/' || user_id as url, case when event_id % 7 = 0 then null else 'c' || user_id end as company, case when event_type = 'error' then 'other' else event_type end as kind, strftime(ts, '%Y-%m-%d') as day, props from events)
+select n, company, kind, day, case when n % 2 = 0 then 'sum' else props end as title, props as snippet, sha256(source || '|' || url) as document_id, sha256(sha256(source || '|' || url) || '|' || company || '|' || kind || '|' || day || '||done') as record_id, 'news.example' as source_group
+from e where kind <> 'other' and company is not null and n % 5 <> 0""")
 def ext23_events_to_evidence(spark, d):
-    return table(spark, d, "events").where("event_type in ('purchase', 'signup') and value > 60").select("user_id", "event_id", F.round(F.col("value") / 100, 4).alias("confidence"), F.lit("A").alias("grade"))
+    n = F.col("event_id")
+    quotes = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("props", F.lit("more")))
+    events = table(spark, d, "events").select(
+        F.col("event_type").alias("source_id"), F.concat(F.lit("https://News.example/"), F.col("user_id").cast("string")).alias("url"), F.when(n % 7 != 0, F.concat(F.lit("c"), F.col("user_id").cast("string"))).alias("company"), F.when(F.col("event_type") == "error", "other").otherwise(F.col("event_type")).alias("kind"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit(None).cast("string").alias("round"), F.lit("done").alias("status"), F.when(n % 2 == 0, "sum").alias("summary"), quotes.alias("quotes"), n.alias("n"),
+    )
+    return E.event_evidence(events, "n").withColumnRenamed("event_id", "record_id")
 
 
 @query("""with u as (select user_id, event_type, event_id % 4 as g, event_type in ('purchase', 'signup') and value > 90 as strong from events where event_type <> 'view' and event_id % 5 <> 0),
