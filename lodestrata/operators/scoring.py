@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,3 +93,13 @@ def budget_admission(requests: DataFrame, account: Sequence[str], order: Sequenc
 
     w = Window.partitionBy(*account).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return requests.withColumn("spent", F.sum(cost).over(w)).withColumn("admitted", F.col("spent") <= limit)
+
+
+def rule_prior(role: Column, recencies: Column, priors: Mapping[str, Sequence[str]]) -> Column:
+    """How likely a role is by rules alone, in [0, 1): each event that names the role among its preferred
+    ones adds its recency (a map by event), less for later places but a quarter at the least."""
+    weights = {f"{event}|{name}": max(0.25, 1.0 - 0.15 * rank) for event, names in priors.items() for rank, name in reversed(list(enumerate(names)))}
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    each = F.transform(F.map_entries(recencies), lambda e: F.coalesce(e["value"], F.lit(0.0)) * F.coalesce(F.try_element_at(table, F.concat_ws("|", e["key"], role)), F.lit(0.0)))
+    total = F.aggregate(F.coalesce(each, F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + x)
+    return 1 - F.exp(-F.greatest(total, F.lit(0.0)))

@@ -217,11 +217,15 @@ def ml3_logistic_regression(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in m.items()], "feature string, weight double")
 
 
-@query("""select event_id, round(1 - exp(-(case event_type when 'purchase' then 0.8 when 'signup' then 0.5 when 'click' then 0.2 else 0.05 end)::double * value / 100), 8) as prior from events""")
+@query("""with p as (select * from (values ('purchase', 'sales', 0), ('purchase', 'legal', 1), ('signup', 'it', 0), ('signup', 'sales', 1), ('signup', 'a', 2), ('signup', 'b', 3), ('signup', 'c', 4), ('signup', 'd', 5), ('signup', 'legal', 6), ('click', 'legal', 0)) t(event, role, place)),
+e as (select user_id, event_type as event, max(value) / 100 as recency from events group by 1, 2), r as (select user_id, unnest(['sales', 'legal', 'it', 'none']) as role from (select distinct user_id from events))
+select r.user_id, r.role, round(1 - exp(-coalesce(sum(recency * greatest(0.25::double, 1 - place * 0.15::double)), 0)), 8) as prior from r left join p using (role) left join e on e.user_id = r.user_id and e.event = p.event group by 1, 2""")
 def ml4_rule_prior(spark, d):
-    rules = spark.createDataFrame([("purchase", 0.8), ("signup", 0.5), ("click", 0.2)], "event_type string, w double")
-    e = table(spark, d, "events").join(F.broadcast(rules), "event_type", "left")
-    return e.select("event_id", F.round(1 - F.exp(-F.coalesce("w", F.lit(0.05)) * F.col("value") / 100), 8).alias("prior"))
+    priors = {"purchase": ("sales", "legal"), "signup": ("it", "sales", "a", "b", "c", "d", "legal"), "click": ("legal",)}
+    latest = table(spark, d, "events").groupBy("user_id", "event_type").agg((F.max("value") / 100).alias("recency"))
+    by_user = latest.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "recency"))).alias("recencies"))
+    rows = by_user.select("user_id", "recencies", F.explode(F.array(*[F.lit(x) for x in ("sales", "legal", "it", "none")])).alias("role"))
+    return rows.select("user_id", "role", F.round(S.rule_prior(F.col("role"), F.col("recencies"), priors), 8).alias("prior"))
 
 
 @query("""with g as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as share), s as (select o_orderkey, o_totalprice / 500000 as p, (o_orderkey % 100) / 100.0 as l, o_orderpriority = '1-URGENT' as y from orders),
