@@ -161,3 +161,31 @@ def expiry(run_day: Column, days: int = 7) -> Column:
     """The last day on which a draft of a run can be reviewed."""
     return F.date_add(run_day.cast("date"), days)
 
+
+def article_window(body: Column, title: Column, bulletin: Column, patterns: Mapping[str, str], window: int = 2000) -> Column:
+    """What part of an article to read: a struct of mode, reason, chars and actions (in the window, and behind
+    it). `patterns`: section (of a digest), bulletin_title, event, company_event, commentary_title,
+    interview_title, interview_cue and action. Digests (said so, titled so, or of two sections) and short
+    articles are read whole; of long ones the window, if it has an event (a company's, where the title
+    is of commentary), else nothing."""
+    b, t = F.coalesce(body, F.lit("")), F.coalesce(title, F.lit(""))
+    head, tail = F.substring(b, 1, window), F.substr(b, F.lit(window + 1), F.length(b))
+    count = lambda text, name: F.regexp_count(text, F.lit(patterns[name]))
+    found = lambda text, name: text.rlike(patterns[name])
+    sections = count(b, "section") >= 2
+    digest = F.coalesce(bulletin, F.lit(False)) | found(t, "bulletin_title") | sections
+    event = found(head, "event") & (~found(t, "commentary_title") | found(head, "company_event"))
+    interview = found(t, "interview_title") | (count(head, "interview_cue") >= 2)
+    mode = F.when(digest, "multi_event_digest").when(F.length(b) <= window, "full_short").when(event & interview, "interview_prefix").when(event, "single_event_expansion").otherwise("skip_low_value")
+    reason = (
+        F.when(digest & sections & ~F.coalesce(bulletin, F.lit(False)), "body_digest_structure").when(digest, "bulletin_or_digest_structure").when(F.length(b) <= window, "under_window_limit")
+        .when(event & interview, "interview_lead_contains_event").when(event, "concrete_lead_event_followed_by_long_form").when(interview, "interview_or_commentary_without_concrete_lead_event").otherwise("no_concrete_event_in_lead_window")
+    )
+    chars = F.when(mode.isin("multi_event_digest", "full_short"), F.length(b)).when(mode == "skip_low_value", 0).otherwise(window)
+    return F.struct(mode.alias("mode"), reason.alias("reason"), chars.alias("chars"), count(head, "action").alias("head_actions"), count(tail, "action").alias("tail_actions"))
+
+
+def windowed_body(body: Column, decision: Column) -> Column:
+    """The body with what is not read as spaces, so that offsets stay."""
+    read = F.substr(body, F.lit(1), decision["chars"])
+    return F.concat(read, F.repeat(F.lit(" "), F.length(body) - F.length(read)))

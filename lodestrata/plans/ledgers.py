@@ -407,12 +407,19 @@ def ext5_three_companies(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.slice(found, 1, 3))).alias("company"))
 
 
-@query("select doc_id, case when length(text) <= 2000 then 'whole' when contains(substr(text, 1, 500), 'tion') then 'head' when contains(substr(text, length(text) - 499, 500), 'tion') then 'tail' else 'none' end as window_mode from documents")
+@query("""with d as (select doc_id, text, substr(text, 1, 2000) as head, substr(text, 2001) as tail, case doc_id % 5 when 0 then 'Weekly digest' when 1 then 'Opinion' when 2 then 'Interview' else '' end as title, doc_id % 11 = 0 as bulletin, length(text) as n from documents),
+f as (select *, len(regexp_extract_all(text, '#')) >= 2 as sections, contains(head, 'heit') and (doc_id % 5 <> 1 or contains(head, 'mente')) as event, doc_id % 5 = 2 or len(regexp_extract_all(head, 'qu')) >= 2 as interview from d),
+g as (select *, bulletin or doc_id % 5 = 0 or sections as digest from f),
+m as (select *, case when digest then 'multi_event_digest' when n <= 2000 then 'full_short' when event and interview then 'interview_prefix' when event then 'single_event_expansion' else 'skip_low_value' end as window_mode from g)
+select doc_id, window_mode, case when digest and sections and not bulletin then 'body_digest_structure' when digest then 'bulletin_or_digest_structure' when n <= 2000 then 'under_window_limit' when event and interview then 'interview_lead_contains_event' when event then 'concrete_lead_event_followed_by_long_form' when interview then 'interview_or_commentary_without_concrete_lead_event' else 'no_concrete_event_in_lead_window' end as reason,
+  len(regexp_extract_all(head, 'tion'))::int as head_actions, len(regexp_extract_all(tail, 'tion'))::int as tail_actions,
+  sha256(case when window_mode in ('multi_event_digest', 'full_short') then text when window_mode = 'skip_low_value' then repeat(' ', n) else head || repeat(' ', n - 2000) end) as body from m""")
 def ext10_window_decision(spark, d):
-    t = F.col("text")
-    last = F.substr(t, F.length(t) - 499, F.lit(500))
-    mode = F.when(F.length(t) <= 2000, "whole").when(F.contains(F.substring(t, 1, 500), F.lit("tion")), "head").when(F.contains(last, F.lit("tion")), "tail").otherwise("none")
-    return table(spark, d, "documents").select("doc_id", mode.alias("window_mode"))
+    k = F.col("doc_id")
+    title = F.when(k % 5 == 0, "Weekly digest").when(k % 5 == 1, "Opinion").when(k % 5 == 2, "Interview").otherwise("")
+    patterns = {"section": "#", "bulletin_title": "digest", "event": "heit", "company_event": "mente", "commentary_title": "Opinion", "interview_title": "Interview", "interview_cue": "qu", "action": "tion"}
+    docs = table(spark, d, "documents").select("doc_id", "text", U.article_window(F.col("text"), title, k % 11 == 0, patterns).alias("w"))
+    return docs.select("doc_id", F.col("w.mode").alias("window_mode"), "w.reason", "w.head_actions", "w.tail_actions", F.sha2(U.windowed_body(F.col("text"), F.col("w")), 256).alias("body"))
 
 
 @query("select user_id, event_type, false as seeded from (select distinct user_id, event_type from events where value > 80) union all select user_id, 'view', true from (select distinct user_id from events) where user_id not in (select user_id from events where value > 80 and event_type = 'view')")
