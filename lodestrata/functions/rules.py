@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ from .text import compact, term_found
 #: What says that a round is not known, or is new and has no name; what is strategic.
 NO_ROUND = ("未披露", "未明确", "未知", "不详", "新一轮", "新一轮融资")
 STRATEGIC = ("战略轮", "战略融资")
+#: How rounds and amounts are written; what before or after an amount makes it a valuation or
+#: a figure of business; and what before it makes it the sum of all rounds.
+ROUND = r"(Pre-IPO(?:轮)?|Pre-[A-Z](?:\+{1,2})?(?:轮)?|(?<![A-Z])[A-Z](?:\+{1,2})?轮|天使(?:\+{1,2})?轮|种子(?:\+{1,2})?轮|战略融资)"
+AMOUNT = r"((?:近|超|逾|数)?\s*\d+(?:\.\d+)?\s*(?:万|千万|亿)\s*(?:元|美元|人民币)|(?:近|超|逾)?\s*(?:数千万元|数亿元|千万级|亿元级|千万元|亿元))"
+VALUED_BEFORE, OTHER_AFTER = r"(?:估值|投前|投后).{0,6}$", r"(?:的)?(?:投前|投后)?估值|.{0,4}(?:订单|营收|利润|交付|小时)"
+IN_ALL = r"总融资(?:规模|额|金额)?|累计(?:融资)?(?:额|金额)?|(?:\d+轮|多轮).{0,16}$"
 #: Words of rank and of jobs in search hits, hosts that recruit, titles that are no job's.
 RANK_TERMS = ("总监", "副总裁", "director", "head of", "vice president", " vp ")
 JOB_TERMS = ("招聘", "职位", "岗位", "job", "career", "join us", "招募")
@@ -189,3 +197,29 @@ def windowed_body(body: Column, decision: Column) -> Column:
     """The body with what is not read as spaces, so that offsets stay."""
     read = F.substr(body, F.lit(1), decision["chars"])
     return F.concat(read, F.repeat(F.lit(" "), F.length(body) - F.length(read)))
+
+
+def one_funding(sentence: str, start: int, end: int, started: bool) -> tuple[str, str, str]:
+    """The round, the amount and the sum of all rounds that a sentence gives for what it asserts between
+    start and end: those nearest to its middle. Of a round that only begins, the last one named inside."""
+    far = lambda m: abs((m.start() + m.end()) / 2 - (start + end) / 2)
+    rounds = list(re.finditer(ROUND, sentence))
+    inside = [m for m in rounds if start <= m.start() <= end] if started else []
+    told = inside[-1] if inside else min(rounds, key=far, default=None)
+    sums: tuple[list, list] = ([], [])
+    for m in re.finditer(AMOUNT, sentence):
+        before, after = sentence[max(0, m.start() - 18) : m.start()], sentence[m.end() : m.end() + 12]
+        if not re.search(VALUED_BEFORE, before) and not re.match(OTHER_AFTER, after):
+            sums[bool(re.search(IN_ALL, before))].append((far(m), m[1]))
+    return told[1] if told else "", *(min(x)[1] if x else "" for x in sums)
+
+
+def _fundings(sentence: pd.Series, start: pd.Series, end: pd.Series, started: pd.Series) -> pd.DataFrame:
+    rows = [one_funding(t or "", int(a), int(b), bool(on)) for t, a, b, on in zip(sentence, start, end, started, strict=True)]
+    return pd.DataFrame(rows, columns=["round", "amount", "in_all"])
+
+
+def funding(sentence: Column, start: Column, end: Column, started: Column) -> Column:
+    """one_funding in Arrow batches: a struct of round, amount and in_all. Offsets of matches decide, which
+    built-in functions do not give."""
+    return F.pandas_udf(_fundings, "round string, amount string, in_all string")(sentence, start, end, started)

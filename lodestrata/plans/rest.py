@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from lodestrata.functions import rules as U
 from lodestrata.functions import text as T
 from lodestrata.functions import time as D
 from lodestrata.operators import extraction as X
@@ -203,12 +204,14 @@ def str14_director_predicate(spark, d):
     return table(spark, d, "part").select("p_partkey", (T.seniority(title) == "director_plus").alias("director"))
 
 
-@query("select p_partkey, p_size * 10 as amount, case when p_size % 2 = 0 then 'M' else 'K' end as unit from part")
+@query("select p_partkey, case when p_partkey % 2 = 0 then 'A轮' else 'B+轮' end as round, case when p_partkey % 2 = 0 then p_size || '万元' else '超' || p_size || '亿元' end as amount, case when p_partkey % 2 = 0 then '5亿元' else '8亿美元' end as in_all from part")
 def str23_nearest_amount(spark, d):
-    unit = F.when(F.col("p_size") % 2 == 0, "M").otherwise("K")
-    text = F.concat(F.lit("total 99999B so far; raised $"), (F.col("p_size") * 10).cast("string"), unit, F.lit(" in round A"))
-    near = r"raised\s+\$?(\d+)([KMB])"
-    return table(spark, d, "part").select("p_partkey", F.regexp_extract(text, near, 1).cast("int").alias("amount"), F.regexp_extract(text, near, 2).alias("unit"))
+    n, closed = F.col("p_size").cast("string"), F.col("p_partkey") % 2 == 0
+    done = F.concat(F.lit("总融资额5亿元；公司今日公告称其已经正式完成A轮融资"), n, F.lit("万元，估值10亿元"))
+    begun = F.concat(F.lit("此前天使轮获投，现启动B+轮融资，拟募超"), n, F.lit("亿元，累计融资额8亿美元"))
+    at = F.instr(F.when(closed, done).otherwise(begun), F.when(closed, "完成A轮").otherwise("启动B+轮")) - 1
+    rows = table(spark, d, "part").select("p_partkey", U.funding(F.when(closed, done).otherwise(begun), at, at + 5, ~closed).alias("f"))
+    return rows.select("p_partkey", "f.round", "f.amount", "f.in_all")
 
 
 @query(r"select doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+'))) as person from documents")
