@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -18,8 +19,9 @@ from .wordcache import UnitEncoder
 #: The id that ends each document. Ids in a shard, about; how often a pair must occur in it to become
 #: a rule.
 END, SHARD_IDS, LEAST_COUNT = 1, 1 << 20, 64
+#: Pairs are counted in so many buckets, as a power of two, at most.
 _BUCKET_BITS = 20
-_BUCKETS = 1 << _BUCKET_BITS
+_FAR = np.int32(2**31 - 1)
 
 
 def _units(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,17 +47,22 @@ class WordEncoder(UnitEncoder):
 
     The tokenizer's own splitting never joins what stands on both sides of ASCII white space (its
     normaliser maps white space to a space, its pattern has no piece with white space, and no letter
-    composes with a space), so the ids of a text are those of its words, one after another."""
+    composes with a space), so the ids of a text are those of its words, one after another. Its special
+    tokens hold no white space either; where a text spells one out, the library makes it that token,
+    and so does this."""
 
     end = END
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Words of small ASCII letters need no normalising, and each is one piece.
+        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        for t in (self.tokenizer, self.letters):
+            t.model._resize_cache(0)  # every word comes once
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -68,33 +75,36 @@ class WordEncoder(UnitEncoder):
     def _units(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return _units(words)
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word. A word of letters alone is one piece of the tokenizer's pattern: ASCII
-        ones go straight to its model, others many to a call, parted at the ids that end words."""
-        found: list = [None] * len(words)
-        joined, single, model = [], [], self.tokenizer.model
-        for i, w in enumerate(words):
-            if w.isalpha():
-                if w.isascii():
-                    found[i] = [t.id for t in model.tokenize(w.lower())]
-                else:
-                    joined.append(i)
-            else:
-                single.append(i)
-        runs = [joined[k : k + 64] for k in range(0, len(joined), 64)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(words[i] for i in r) for r in runs], add_special_tokens=False), strict=True):
-            ids = e.ids
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(run):
-                single += run
-                continue
-            begin = 0
-            for i, end in zip(run, ends.tolist(), strict=True):
-                found[i] = ids[begin:end]
-                begin = end
-        for i, e in zip(single, self.tokenizer.encode_batch_fast([words[i] for i in single], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        return found
+    def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each word. A word of letters alone is one piece of the tokenizer's pattern, so many of
+        them go to a call, parted at the ids that end words: ASCII ones past the normaliser, others
+        through it."""
+        words = [u.decode("utf-8", "replace") for u in units]
+        letters = np.fromiter(map(bytes.isalpha, units), bool, len(units))  # ASCII letters alone
+        joined = np.fromiter(map(str.isalpha, words), bool, len(units)) & ~letters
+        single, parts = np.flatnonzero(~letters & ~joined), []
+        for tokenizer, which, fold in ((self.letters, np.flatnonzero(letters), str.lower), (self.tokenizer, np.flatnonzero(joined), str)):
+            runs = [which[k : k + 128] for k in range(0, len(which), 128)]
+            flat, size = self._encoded(tokenizer, [fold(" ".join([words[i] for i in r.tolist()])) for r in runs])
+            ends = self.ends_word[flat]
+            size = np.repeat(np.arange(len(runs)), size)
+            whole = np.bincount(size[ends], minlength=len(runs)) == [len(r) for r in runs]
+            single = np.concatenate([single, *[r for r, ok in zip(runs, whole, strict=True) if not ok]])
+            flat, ends = (flat, ends) if whole.all() else (flat[whole[size]], ends[whole[size]])
+            parts.append((np.concatenate([single[:0], *[r for r, ok in zip(runs, whole, strict=True) if ok]]), flat, np.diff(np.flatnonzero(ends), prepend=-1)))
+        parts.append((single, *self._encoded(self.tokenizer, [words[i] for i in single.tolist()])))
+        ids, size = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        order = np.argsort(np.concatenate([p[0] for p in parts]))
+        at, length = (np.cumsum(size) - size)[order], size[order]
+        past = np.cumsum(length)
+        return ids[np.repeat(at - (past - length), length) + np.arange(len(ids))], length
+
+    @staticmethod
+    def _encoded(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and each text's number."""
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum())), size
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
@@ -104,21 +114,28 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     A round counts the pairs of neighbours inside documents, and replaces by nonterminals those that
     occur LEAST_COUNT times or more: all such pairs at once, where two overlap the more frequent one
     first. Rounds go on until no pair is frequent, or none of those that are can be taken half as often.
-    A pair that waits for the one in its bucket comes in when a round takes nothing."""
-    seq, base = ids.astype(np.uint32), int(ids.max(initial=0)) + 1
-    sizes, rules, lengths, n, waiting = sizes.astype(np.int64), [], [], base, False
-    while len(seq) > 1:
-        left, right = seq[:-1], seq[1:]
-        bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKET_BITS)
-        bucket[np.cumsum(sizes)[:-1] - 1] = _BUCKETS  # neighbours in different documents
-        full = np.bincount(bucket, minlength=_BUCKETS + 1) >= LEAST_COUNT
-        full[_BUCKETS] = False
-        often = np.flatnonzero(full[bucket])
+    A pair that waits for the one in its bucket comes in when a round takes nothing. After the first
+    round only places are counted that can be of a frequent pair: those left over of pairs that were,
+    and those beside a new nonterminal."""
+    seq, base, total = ids.astype(np.uint32), int(ids.max(initial=0)) + 1, len(ids)
+    rules, lengths, n, waiting = [], [], base, False
+    ends = np.zeros(total + 1, bool)  # the last symbol of each document
+    ends[np.cumsum(sizes) - 1] = True
+    # Symbols are linked, so a round touches but the places that it looks at.
+    after, before, alive = np.arange(1, total + 2), np.arange(-1, total), np.ones(total, bool)
+    look = np.zeros(total + 1, bool)
+    cand, here = np.flatnonzero(~ends[:-1]), np.full(total + 2, _FAR, np.int32)  # the rank of the pair that begins at i
+    while len(cand):
+        bits = min(_BUCKET_BITS, max(8, len(cand).bit_length() + 1))
+        left, right = seq[cand], seq[after[cand]]
+        bucket = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)).astype(np.int64)
+        sel = (np.bincount(bucket, minlength=1 << bits) >= LEAST_COUNT)[bucket]
+        often, in_ = cand[sel], bucket[sel]
         if not len(often):
             break
         # One pair stands for a bucket; another that falls into it waits for a later round.
-        in_, pairs = bucket[often], left[often].astype(np.uint64) << np.uint64(32) | right[often]
-        stands = np.zeros(_BUCKETS, np.uint64)
+        pairs = left[sel].astype(np.uint64) << np.uint64(32) | right[sel]
+        stands = np.zeros(1 << bits, np.uint64)
         if waiting:  # the most frequent pair of each bucket
             known, first, times = np.unique(pairs, return_index=True, return_counts=True)
             by_count = np.argsort(times, kind="stable")
@@ -126,27 +143,27 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         else:
             stands[in_] = pairs
         same = stands[in_] == pairs
-        often, in_ = often[same], in_[same]
-        count = np.bincount(in_, minlength=_BUCKETS)
+        place, in_ = often[same], in_[same]
+        count = np.bincount(in_, minlength=1 << bits)
         heavy = np.flatnonzero(count >= LEAST_COUNT)
         heavy = heavy[np.lexsort((stands[heavy], -count[heavy]))]
         by_rank, far = stands[heavy], len(heavy)
-        rank = np.full(_BUCKETS, far, np.int32)
+        rank = np.full(1 << bits, _FAR, np.int32)
         rank[heavy] = np.arange(far)
-        here = np.full(len(seq) + 1, far, np.int32)  # rank of the pair that begins at i - 1
-        here[often + 1] = rank[in_]
-        mine = here[1:-1]
+        mine = rank[in_]
+        here[place] = mine
         # A pair is taken where it ranks before both neighbours; in a run of one pair, every second.
-        take = (mine < far) & (mine <= here[2:]) & (mine <= here[:-2])
-        if (take[1:] & take[:-1]).any():
-            run = np.flatnonzero(take)
-            fresh = np.concatenate([[True], np.diff(run) > 1])
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(run)), 0))
-            take[run[(np.arange(len(run)) - start) % 2 == 1]] = False
-        at = np.flatnonzero(take)
-        used = np.bincount(mine[at], minlength=far)
-        good = used >= LEAST_COUNT // 2
-        at = at[good[mine[at]]]
+        take = (mine < _FAR) & (mine <= here[before[place]]) & (mine <= here[after[place]])
+        here[place] = _FAR
+        at, mine = place[take], mine[take]
+        linked = after[at[:-1]] == at[1:]
+        if linked.any():
+            fresh = np.concatenate([[True], ~linked])
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            even = (np.arange(len(at)) - start) % 2 == 0
+            at, mine = at[even], mine[even]
+        good = np.bincount(mine, minlength=far) >= LEAST_COUNT // 2
+        at, mine = at[good[mine]], mine[good[mine]]
         if not len(at):
             if waiting:
                 break
@@ -159,13 +176,19 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
             rules.append((a, b))
             lengths.append((1 if a < base else lengths[a - base]) + (1 if b < base else lengths[b - base]))
         n += int(good.sum())
-        seq[at] = name[mine[at]]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        sizes = np.add.reduceat(keep, np.concatenate([[0], np.cumsum(sizes)[:-1]])).astype(np.int64)
-        seq = seq[keep]
+        gone = after[at]
+        seq[at], ends[at], alive[gone] = name[mine], ends[gone], False
+        after[at] = after[gone]
+        before[after[at]] = at
+        for near in (often[alive[often]], at, before[at]):
+            look[near] = True
+        look[-1] = False  # what stands before the first
+        cand = np.flatnonzero(look)
+        look[cand] = False
+        cand = cand[~ends[cand]]
+    last = np.flatnonzero(ends[:-1][alive])
     width = np.uint16 if n <= 1 << 16 else np.uint32
-    return {"symbols": seq.astype(width), "sizes": sizes.astype(np.uint32), "rules": np.array(rules, np.uint32).reshape(-1, 2), "lengths": np.array(lengths, np.uint32), "base": base}
+    return {"symbols": seq[alive].astype(width), "sizes": np.diff(last, prepend=-1).astype(np.uint32), "rules": np.array(rules, np.uint32).reshape(-1, 2), "lengths": np.array(lengths, np.uint32), "base": base}
 
 
 def openings(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +232,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     each id range, a row for each shard of about SHARD_IDS ids. Shards hold whole documents. A range
     is sorted on disk if it must be; a task holds one shard at a time. Null texts count as empty, so
     each row has END at the least; repeated rows are written each."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4096)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = WordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0

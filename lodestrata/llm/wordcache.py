@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 
 from .common import Words
 
-_NEAR_BITS = 20
-
 
 class UnitEncoder:
     """Splits texts into byte ranges that encode independently and keeps the ids of those it has met.
 
-    A subclass gives `_units` (begin, end, first unit of each text) and `_ids` (ids of new units, as
-    str). At most about `most` distinct units are kept; past that it starts anew. `end` is an id put
-    after each text, or None."""
+    A subclass gives `_units` (begin, end, first unit of each text) and `_ids` (ids of new units: all
+    of them in a row, and how many each has). Units are told apart by their bytes. Of a block the
+    distinct ones are looked up; at most about `most` are kept, past that it starts anew. `end` is an
+    id put after each text, or None."""
 
     end: int | None = None
 
@@ -24,49 +25,38 @@ class UnitEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.entry: dict[int, int] = {}
+        self.entry: dict[bytes, int] = {}
         self.at, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        # The words met last, by the low bits of their hash.
-        self.near, self.near_entry = np.zeros(1 << _NEAR_BITS, np.uint64), np.zeros(1 << _NEAR_BITS, np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        found = self._ids(words)
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(length)[:-1]])
-        self.entry.update(zip(hashes, range(len(self.at), len(self.at) + len(found)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(length.sum()))])
-        self.at, self.length = np.concatenate([self.at, at]), np.concatenate([self.length, length])
+    def _enter(self, units: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        self.entry.update(zip(units, range(len(self.at), len(self.at) + len(units)), strict=True))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])
+        self.length, self.ids = np.concatenate([self.length, length]), np.concatenate([self.ids, ids.astype(np.uint32)])
 
-    def _entries(self, words: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The entry of each word; unknown ones are learnt, each once."""
+    def _entries(self, units: pa.BinaryArray) -> np.ndarray:
+        """The entry of each unit; unknown ones are learnt, each once."""
         if len(self.entry) > self.most:
             self._clear()
-        h = words.hashes(begin, end) if len(begin) else np.zeros(0, np.uint64)
-        slot = (h & np.uint64((1 << _NEAR_BITS) - 1)).astype(np.int64)
-        out = self.near_entry[slot]
-        far = np.flatnonzero((self.near[slot] != h) | (h == 0))
-        keys, one, which = np.unique(h[far], return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        if new := [i for i, k in enumerate(listed) if k not in self.entry]:
-            raw, at = words.data.tobytes(), far[one[new]]
-            self._learn([listed[i] for i in new], [raw[x:y].decode("utf-8", "replace") for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-        of = np.fromiter((self.entry[k] for k in listed), np.int64, len(listed))
-        out[far] = of[which]
-        slot = (keys & np.uint64((1 << _NEAR_BITS) - 1)).astype(np.int64)
-        self.near[slot], self.near_entry[slot] = keys, of
-        return out
+        coded = units.dictionary_encode()
+        listed = coded.dictionary.to_pylist()
+        of = np.fromiter(map(self.entry.get, listed, itertools.repeat(-1)), np.int64, len(listed))
+        if len(new := np.flatnonzero(of < 0)):
+            of[new] = np.arange(len(self.at), len(self.at) + len(new))
+            fresh = [listed[i] for i in new.tolist()]
+            self._enter(fresh, *self._ids(fresh))
+        return of[coded.indices.to_numpy()]
 
     def _units(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise NotImplementedError
 
-    def _ids(self, units: list[str]) -> list:
+    def _ids(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and each text's number of ids."""
         words = Words(texts)
         begin, end, first = self._units(words)
-        entry = self._entries(words, begin, end)
+        entry = self._entries(words.units(begin, end)) if len(begin) else np.zeros(0, np.int64)
         length, at = self.length[entry], self.at[entry]
         ends = np.concatenate([[0], np.cumsum(length)])
         n_docs = len(first) - 1
