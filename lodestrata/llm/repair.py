@@ -54,7 +54,7 @@ class WordEncoder(UnitEncoder):
     end = END
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(most=1_200_000)  # about 200 MB
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
