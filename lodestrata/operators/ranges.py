@@ -108,28 +108,6 @@ def matching(pairs: DataFrame, group: str, left: str, right: str) -> DataFrame:
     return pairs.select(group, left, right).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}")
 
 
-def similar_sets(df: DataFrame, key: str, items: str, least: float, ratio: tuple[float, float] = (0.75, 1.34)) -> DataFrame:
-    """(a, b, jaccard) of keys whose item sets are similar to `least` at the least and of like size.
-
-    Items are compared by 64-bit hashes. Prefix filter: items in order of rarity, of which only those
-    that some other key has can be shared; a key with too few of them has no partner. A pair is
-    offered where its first common item may stand: as many shared items must be left on both sides
-    as the similarity needs. Only such pairs meet, and only these are verified on whole sets."""
-    hashed = df.select(key, F.array_distinct(F.transform(items, lambda x: F.xxhash64(x))).alias("s"))
-    rows = hashed.repartition(key)  # sets are made before the exchange, which later steps share
-    flat = rows.select(key, F.size("s").alias("n"), F.explode("s").alias("i"))
-    counted = flat.groupBy("i").agg(F.count("*").alias("df")).where("df > 1")
-    mine = Window.partitionBy(key)
-    ranked = flat.join(counted, "i").withColumn("t", F.count("*").over(mine)).withColumn("r", F.row_number().over(mine.orderBy("df", "i")))
-    head = ranked.where((F.col("t") >= F.ceil(F.col("n") * least)) & (F.col("r") <= F.col("t") - F.ceil(F.col("n") * least) + 1))
-    a, b = (head.select("i", F.col(key).alias(x), F.col("n").alias(f"n{x}"), (F.col("t") - F.col("r")).alias(f"left_{x}")) for x in "ab")
-    need = F.ceil(least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9)
-    near = a.join(b, "i").where((F.col("a") < F.col("b")) & (F.col("na") / F.col("nb")).between(*ratio) & (F.least("left_a", "left_b") + 1 >= need)).select("a", "b").distinct()
-    whole = near.join(rows.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return whole.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
 def cluster_events(claims: DataFrame, group: Sequence[str], at: str, claim_id: str, window_days: float) -> DataFrame:
     """Claims of a group folded into events in order of arrival (at, id): a claim joins the event whose
     time is nearest within the window, the earliest made if tied, and moves it back if it is earlier;

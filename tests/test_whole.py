@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodestrata.operators import selection
+from lodestrata.operators import selection, similar
 from lodestrata.plans import catalog
 
 
@@ -145,3 +145,21 @@ def test_blocked_pairs_are_verified(spark, folder):
     d = near_folder(folder, texts)
     got = catalog.QUERIES["join22_blocked_prefix"](spark, d).collect()
     assert texts[1][:20] == texts[3][:20] and (1, 3) not in want and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+
+
+def test_copies_meet_their_class_alone(spark, folder):
+    texts = {k: ("one text of many  copies " * 3 if k % 2 else "One text of many copies " * 3) for k in range(1, 31)} | {40: "one text of many copies " * 3 + "x"}
+    d = near_folder(folder, texts)
+    got = {(r["a"], r["b"]): r["jaccard"] for r in catalog.QUERIES["join21_near_duplicates"](spark, d).collect()}
+    want = near_by_hand(texts, lambda a, b: a == 1)
+    assert (1, 40) in want and got == want and len(got) == 30
+
+
+def test_large_components_are_compared_in_blocks(spark, folder, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(similar, "WIDE", 16)
+    words = [f"w{k * k}" for k in range(120)]
+    texts = {k: " ".join([*words[: 2 * k], f"edit{k}", *words[2 * k :]]) for k in range(1, 15)}
+    got = catalog.QUERIES["join21_near_duplicates"](spark, near_folder(folder, texts)).collect()
+    want = near_by_hand(texts, lambda a, b: True)
+    assert len(want) == 91 and len(got) == 91 and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
