@@ -155,6 +155,12 @@ def test_copies_meet_their_class_alone(spark, folder):
     assert (1, 40) in want and got == want and len(got) == 30
 
 
+def test_copies_meet_their_class_of_one_opening(spark, folder):
+    texts = {k: ("one text of many  copies " * 3 if k % 2 else "One text of many copies " * 3) for k in range(1, 31)} | {40: "one text of many  copies " * 3 + "x"}
+    got = catalog.QUERIES["join22_blocked_prefix"](spark, near_folder(folder, texts)).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(1, k) for k in range(3, 31, 2)} | {(2, k) for k in range(4, 31, 2)} | {(1, 40)}
+
+
 def test_large_components_are_compared_in_blocks(spark, folder, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK_TEXTS", 3)
     monkeypatch.setattr(similar, "WIDE", 16)
