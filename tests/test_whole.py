@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lodestrata.operators import selection, similar
-from lodestrata.plans import catalog
+from lodestrata.plans import catalog, rest
 
 
 @pytest.fixture
@@ -169,3 +169,12 @@ def test_large_components_are_compared_in_blocks(spark, folder, monkeypatch):
     got = catalog.QUERIES["join21_near_duplicates"](spark, near_folder(folder, texts)).collect()
     want = near_by_hand(texts, lambda a, b: True)
     assert len(want) == 91 and len(got) == 91 and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+
+
+def test_reports_are_bounded(spark, folder):
+    rows = [(k % 2, f"Customer {k}") for k in range(100)]
+    d = folder(customer=(rows, "c_nationkey int, c_name string"))
+    packed = rest._reports(spark.read.parquet(f"{d}/customer.parquet"), 7).collect()
+    assert max(r["value"].count("company") for r in packed) <= 7 and sum(r["value"].count("company") for r in packed) == 100
+    got = catalog.QUERIES["src4_report_versions"](spark, d).collect()
+    assert sorted(tuple(r) for r in got) == sorted((n, 1 + n, c) for n, c in rows)
