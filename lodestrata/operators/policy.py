@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,23 +124,33 @@ def budget_ledger(requests: DataFrame, account: Sequence[str], order: Column, op
     """account, operation, points, state of the requests of each account (say a provider's day), in order.
     An operation that has asked before is refused, and so is one whose points would lead beyond the
     limit; a smaller one after it may still pass. Accepted ones are reserved, or spent where
-    `committed`. Order decides, so an account's day is folded in one place."""
-    asked = F.sort_array(F.collect_list(F.struct(order.alias("at"), F.col(operation).alias("operation"), F.col(points).cast("long").alias("points"), F.col(committed).alias("committed"))))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("known"), F.array().cast("array<boolean>").alias("passed"))
-
-    def step(state: Column, one: Column) -> Column:
-        name = one["operation"].cast("string")
-        fits = ~F.array_contains(state["known"], name) & (state["used"] + one["points"] <= limit)
-        return F.struct(
-            (state["used"] + F.when(fits, one["points"]).otherwise(F.lit(0).cast("long"))).alias("used"),
-            F.when(fits, F.concat(state["known"], F.array(name))).otherwise(state["known"]).alias("known"),
-            F.concat(state["passed"], F.array(fits)).alias("passed"),
-        )
-
-    folded = requests.groupBy(*account).agg(asked.alias("asked")).withColumn("passed", F.aggregate("asked", empty, step)["passed"])
-    rows = folded.select(*account, F.inline(F.arrays_zip("asked", "passed")))
-    state = F.when(~F.col("passed"), "refused").when(F.col("asked.committed"), "spent").otherwise("reserved")
-    return rows.select(*account, F.col("asked.operation").alias(operation), F.col("asked.points").alias(points), state.alias("state"))
+    `committed`. Order decides, so an account's day is folded in one place: a task reads its accounts'
+    sorted rows one after another and holds the known operations of one account only."""
+    asked = requests.select(*account, order.alias("__at"), F.col(operation), F.col(points).cast("long").alias(points), F.col(committed).alias("__committed"))
+    name = F.col(operation).cast("string").alias("__name")
+    spread = asked.repartition(*account).sortWithinPartitions(*account, "__at", operation, points, "__committed").select(*account, operation, points, "__committed", name)
+
+    def fold(batches):
+        now, used, known = None, 0, set()
+        for b in batches:
+            keys = zip(*(b.column(c).to_pylist() for c in account), strict=True)
+            passed = []
+            for key, one, cost in zip(keys, b.column("__name").to_pylist(), b.column(points).to_pylist(), strict=True):
+                if key != now:
+                    now, used, known = key, 0, set()
+                within = None if cost is None else used + cost <= limit
+                unknown = None if one is None else one not in known
+                fits = False if within is False or unknown is False else None if within is None or unknown is None else True
+                if fits:
+                    used += cost
+                    known.add(one)
+                passed.append(fits)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*account, operation, points, "__committed"]), pa.array(passed, pa.bool_())], [*account, operation, points, "__committed", "passed"])
+
+    kinds = dict(spread.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*account, operation, points, "__committed"]), "passed boolean"])
+    state = F.when(~F.col("passed"), "refused").when(F.col("__committed"), "spent").otherwise("reserved")
+    return spread.mapInArrow(fold, schema).select(*account, operation, points, state.alias("state"))
 
 
 def cooled(leads: DataFrame, shown: DataFrame, company: str, items: str, day: str, as_of: Column, days: int = 7) -> DataFrame:

@@ -1,10 +1,12 @@
 """Queries on whole tables: ids that former filters left out take part. Against brute force on small fixtures."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrata.operators import selection, similar
+from lodestrata.operators import policy, selection, similar
 from lodestrata.plans import catalog, rest
 
 
@@ -178,3 +180,25 @@ def test_reports_are_bounded(spark, folder):
     assert max(r["value"].count("company") for r in packed) <= 7 and sum(r["value"].count("company") for r in packed) == 100
     got = catalog.QUERIES["src4_report_versions"](spark, d).collect()
     assert sorted(tuple(r) for r in got) == sorted((n, 1 + n, c) for n, c in rows)
+
+
+def test_an_account_of_many_requests_is_one_pass(spark):
+    # A fold that copies what it has seen at each step takes minutes here.
+    rows = spark.range(200_000).selectExpr("'a' as g", "id as at", "id div 2 as op", "if(id < 199000, 40L, id % 6 + 1) as points", "id % 3 = 0 as paid")
+    began = time.time()
+    got = {r["op"]: r["state"] for r in policy.budget_ledger(rows, ["g"], F.col("at"), "op", "points", "paid", 30).where("state != 'refused'").collect()}
+    took = time.time() - began
+    used, want = 0, {}
+    for k in range(199_000, 200_000):
+        if k // 2 not in want and used + k % 6 + 1 <= 30:
+            used += k % 6 + 1
+            want[k // 2] = "spent" if k % 3 == 0 else "reserved"
+    assert got == want and took < 30
+
+
+def test_ledger_requests_without_values(spark):
+    rows = [("a", 1, None, 5, True), ("a", 2, "x", None, False), ("a", 3, "x", 30, True), ("a", 4, "x", 0, True), ("a", 5, None, 40, True), (None, 1, "y", 31, None), (None, 2, "y", 30, None)]
+    df = spark.createDataFrame(rows, "g string, at int, op string, points int, paid boolean")
+    got = policy.budget_ledger(df, ["g"], F.col("at"), "op", "points", "paid", 30).collect()
+    want = [("a", None, 5, "spent"), ("a", "x", None, "reserved"), ("a", "x", 30, "spent"), ("a", "x", 0, "refused"), ("a", None, 40, "refused"), (None, "y", 31, "refused"), (None, "y", 30, "reserved")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
