@@ -2,11 +2,13 @@
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import policy, selection, similar
+from lodestrata.operators import graph, policy, selection, similar
+from lodestrata.operators.shared import base
 from lodestrata.plans import catalog, rest
 
 
@@ -202,3 +204,14 @@ def test_ledger_requests_without_values(spark):
     got = policy.budget_ledger(df, ["g"], F.col("at"), "op", "points", "paid", 30).collect()
     want = [("a", None, 5, "spent"), ("a", "x", None, "reserved"), ("a", "x", 30, "spent"), ("a", "x", 0, "refused"), ("a", None, 40, "refused"), (None, "y", 31, "refused"), (None, "y", 30, "reserved")]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_components_leave_no_edges_behind(spark):
+    rng = random.Random(4)
+    edges = [(0, k) for k in range(1, 3000)] + [(rng.randrange(3000), rng.randrange(3000)) for _ in range(20_000)] + [(k, k + 1) for k in range(5000, 5300)] + [(9000, 9000)]
+    at = Path(base(spark).removeprefix("file://"))
+    held = {p for p in at.rglob("*") if p.is_file()}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b")
+    left = sum(p.stat().st_size for p in at.rglob("*") if p.is_file() and p not in held)
+    want = dict.fromkeys(range(3000), 0) | dict.fromkeys(range(5000, 5301), 5000) | {9000: 9000}
+    assert {r["node"]: r["component"] for r in got.collect()} == want and left < 8 * len(edges)
