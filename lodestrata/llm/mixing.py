@@ -87,10 +87,14 @@ def positions(placed: DataFrame) -> DataFrame:
     return placed.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), place)).otherwise(F.array().cast("array<double>")))
 
 
+def ordered(copies: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The training order of copies (id, position): range-sorted by position, ties by id."""
+    spread = copies.repartitionByRange(partitions, "position", "id") if partitions else copies.repartitionByRange("position", "id")
+    return spread.sortWithinPartitions("position", "id")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", partitions: int | None = None) -> DataFrame:
     """The training order: the rows of docs, repeated as the mix takes them, range-sorted by position.
     Returns the columns of docs, sorted; empty texts take no part as they have no words."""
     placed = positions(curriculum(docs, id_col, text_col, source_col))
-    kept = placed.select("row", "id", F.explode("positions").alias("position"))
-    spread = kept.repartitionByRange(partitions, "position", "id") if partitions else kept.repartitionByRange("position", "id")
-    return spread.sortWithinPartitions("position", "id").select("row.*")
+    return ordered(placed.select("row", "id", F.explode("positions").alias("position")), partitions).select("row.*")

@@ -197,6 +197,14 @@ def test_the_mix_is_sorted_by_position(spark):
     assert mixed == [r["id"] for r in sorted(placed, key=lambda r: (r["at"], r["id"]))]
 
 
+def test_the_query_reads_the_training_order(spark, sf_dir, monkeypatch):
+    whole = queries.op5_mixing(spark, sf_dir).toPandas()
+    ordered = mixing.ordered
+    monkeypatch.setattr(mixing, "ordered", lambda copies, partitions=None: ordered(copies, partitions).where("position < 0.5"))
+    half = queries.op5_mixing(spark, sf_dir).toPandas()
+    assert len(half) == len(whole) and 0 < half.taken.sum() < whole.taken.sum() and not half.position.max() >= 0.5
+
+
 def test_curriculum_follows_the_schedule(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
     placed = mixing.positions(mixing.curriculum(rows)).withColumn("position", F.explode("positions")).toPandas()
