@@ -431,6 +431,23 @@ def test_urls_of_very_many_keys(spark):
     assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if i % 4 == 0 else "allow" for i in range(400)} | {1000: "allow"}
 
 
+def test_a_rule_of_the_least_telling_tokens(spark):
+    # x and y tell nothing alone and all together; eleven others each miss one good row.
+    rows = []
+    for i in range(200):
+        x, y = i % 2 == 0, i // 2 % 2 == 0
+        rows.append(([f"g{j:02}" for j in range(11) if i != 4 * j + 1] + ["x"] * x + ["y"] * y, x == y))
+    got = {tuple(r["antecedent"]): r["confidence"] for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    assert got[("x", "y")] == 1.0
+
+
+def test_keys_that_stand_together_are_one_item(spark):
+    keys = [f"key={k:02}" for k in range(40)]
+    rows = [([*keys, "x"] if i % 2 else ["x"] if i % 3 else ["z"], i % 2 == 1 and i % 20 > 1) for i in range(200)]
+    got = {tuple(r["antecedent"]) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    assert got == {(k,) for k in keys}
+
+
 def test_mined_rules_by_hand(spark):
     import itertools
 
