@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -175,6 +176,49 @@ def test_large_components_are_compared_in_blocks(spark, folder, monkeypatch):
     assert len(want) == 91 and len(got) == 91 and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
 
 
+def shuffled(spark):
+    """Bytes that tasks have written to shuffle files so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_texts_that_meet_none_do_not_move(spark, folder):
+    rng = random.Random(8)
+    texts = {k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)) for k in range(400)}
+    texts[400] = texts[7][:-3] + "end"
+    d, before = near_folder(folder, texts), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where tables are large
+    try:
+        got = catalog.QUERIES["join22_blocked_prefix"](spark, d).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = shuffled(spark) - before
+    assert [(r["a"], r["b"]) for r in got] == [(7, 400)] and moved < sum(map(len, texts.values())) / 4
+
+
+def test_the_filter_of_ids_loses_none(spark):
+    df, wanted = spark.range(-50_000, 50_000).withColumnRenamed("id", "key"), [-50_000, -1, 0, 1, 77, *range(1000, 40_000, 40), 49_999]
+    got = {r["key"] for r in similar.maybe_in(df, "key", spark.createDataFrame([(k,) for k in wanted], "id long"), len(wanted)).collect()}
+    assert got >= set(wanted) and len(got) < 100_000 / 16 + len(wanted)
+    assert similar.maybe_in(df, "key", spark.createDataFrame([], "id long"), 0).count() == 0
+
+
+def test_each_two_blocks_meet_once(spark):
+    rows = [(b * 100 + i, b, i) for b in range(1, 8) for i in range(b)]
+    texts = spark.createDataFrame(rows, "id long, blocks int, i int")
+    found = []
+    for first in range(0, 4, 2):
+        part = [tuple(r) for r in similar.met_blocks(texts, first, 2).select("id", "i", "g", "h").collect()]
+        assert max(Counter(x[0] for x in part).values()) <= 4
+        found += part
+    groups = {}
+    for x, i, g, h in found:
+        groups.setdefault((x // 100, g, h), []).append(i)
+    assert all(sorted(i) == sorted({g, h}) for (_, g, h), i in groups.items())
+    assert sorted((b, *sorted(x)) for b, *x in groups) == [(b, i, j) for b in range(1, 8) for i in range(b) for j in range(i, b)]
+
+
 def test_reports_are_bounded(spark, folder):
     rows = [(k % 2, f"Customer {k}") for k in range(100)]
     d = folder(customer=(rows, "c_nationkey int, c_name string"))
