@@ -5,6 +5,7 @@ import time
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,58 @@ def test_large_components_are_compared_in_blocks(spark, folder, monkeypatch):
     assert len(want) == 91 and len(got) == 91 and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
 
 
+def test_texts_of_like_words_do_not_hang_together(spark, folder, monkeypatch):
+    nodes, components = [], similar.components
+
+    def seen(edges, a, b):
+        nodes.extend(r[0] for r in edges.select(a).union(edges.select(b)).distinct().collect())
+        return components(edges, a, b)
+
+    monkeypatch.setattr(similar, "components", seen)
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(36)]
+    texts = {k: " ".join(rng.sample(words, 24)) for k in range(150)}
+    texts |= {150 + k: " ".join([*texts[k].split()[:-1], "other"]) for k in range(5)}
+    got = catalog.QUERIES["join21_near_duplicates"](spark, near_folder(folder, texts)).collect()
+    want = near_by_hand(texts, lambda a, b: True)
+    assert want and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+    assert {x for pair in want for x in pair} <= set(nodes) and len(set(nodes)) < 30
+
+
+def test_long_lists_meet_in_blocks(spark, folder, monkeypatch):
+    monkeypatch.setattr(similar, "LIST_TEXTS", 3)
+    words = [f"w{k * k}" for k in range(120)]
+    texts = {k: " ".join([*words[: 2 * k], f"edit{k}", *words[2 * k :]]) for k in range(1, 15)}
+    got = catalog.QUERIES["join21_near_duplicates"](spark, near_folder(folder, texts)).collect()
+    want = near_by_hand(texts, lambda a, b: True)
+    assert len(want) == 91 and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+
+
+def test_sketches_part_no_link():
+    rng, fewest = np.random.default_rng(3), similar.fewest_bins(0.85)
+    for size in [1, 2, 7, 20, 60, 150, 400, 1_000, 5_000] * 40:
+        differ = int(size * 0.15 / 1.85)  # of each side, so that 85 % of the union is shared
+        pool = np.unique(rng.integers(0, 2**64, 2 * size, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:size]), np.sort(np.concatenate([pool[: size - differ], pool[size : size + differ]]))
+        x, y = similar.sketch_of(a), similar.sketch_of(b)
+        assert np.count_nonzero((x == y) & (x != 0)) >= fewest[np.count_nonzero(x | y)]
+        assert list(similar.list_edges(np.array([2, 2]), np.zeros(2, bool), np.zeros(2), np.array([len(a), len(b)]), np.stack([x, y]), 0.85, fewest)) == [0, 0]
+    assert 150 < fewest[240] < 160 and fewest[10] == 0
+
+
+def test_lists_are_joined_in_pieces(monkeypatch):
+    monkeypatch.setattr(similar, "LIST_PAIRS", 4)
+    one, two = np.arange(1, 241).astype(np.uint8), np.arange(240, 0, -1).astype(np.uint8)
+    sketches = np.stack([one, two, one, two, one, one, two, two])
+    size = np.array([100, 100, 90, 100, 80, 100, 100, 100])
+    ends = np.array([5, 5, 5, 5, 5, 8, 8, 8])
+    to = similar.list_edges(ends, np.zeros(8, bool), np.zeros(8), size, sketches, 0.85, similar.fewest_bins(0.85))
+    assert list(to) == [0, 1, 0, 1, 0, 5, 6, 6]  # 100 and 80 hang together by 90
+    apart = similar.list_edges(ends, np.ones(8, bool), np.array([0, 0, 0, 1, 1, 0, 0, 1]), size, sketches, 0.85, similar.fewest_bins(0.85))
+    assert list(apart) == [0, 1, 2, 1, 2, 5, 6, 6]
+
+
 def shuffled(spark):
     """Bytes that tasks have written to shuffle files so far."""
     sc = spark.sparkContext._jsc.sc()
